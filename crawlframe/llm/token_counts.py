@@ -27,21 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .encoding import CACHE_ENTRIES, CACHED_CHARS, led_chunks, led_regular, led_slow, micro_batches
+from .encoding import CACHE_ENTRIES, CACHED_CHARS, byte_symbols, led_chunks, led_regular, led_slow, micro_batches
 
 LONG = 4096
+#: Characters whose new pre-tokens are merged together; bounds memory.
+BATCH_CHARS = 1_000_000
 _NONE = np.int64(1 << 40)
 #: Fixed value: the pre-token pattern of byte-level BPE files that name no own one.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    shifted = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
-
-
 class TokenCounter:
     """Counts for one byte-level BPE file."""
 
@@ -169,7 +164,7 @@ class TokenCounter:
 
     def count(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)
-        for batch in micro_batches(texts):
+        for batch in micro_batches(texts, BATCH_CHARS):
             chunks = [led_chunks(part) for _, part in batch]
             new = set(chain.from_iterable(chunks)).difference(self.cache)
             if len(self.cache) + len(new) > CACHE_ENTRIES and self.cache:
