@@ -88,16 +88,18 @@ def mix(
     """
     kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("t"), text_of(text)))
-    table = rates(docs, weights, rest, epochs, text=text, source=source).select(F.col("class").alias("__class"), F.col("cdf").alias("__cdf"))
+    table = rates(docs, weights, rest, epochs, text=text, source=source)
     uniform = (_hash(seed, key) + F.lit(0.5)) / F.lit(_UNIT)
     n = shuffle_partitions(docs.sparkSession)
+    # the input's row stays in one column, so that its names meet none of these
+    rows = docs.select(F.struct(*kept).alias("row"), _class(F.col(source), weights).alias("of"), key.alias("key"), uniform.alias("u"))
     counted = (
-        docs.select(*kept, _class(F.col(source), weights).alias("__of"), key.alias("__key"), uniform.alias("__u"))
-        .join(F.broadcast(table), F.col("__of").eqNullSafe(F.col("__class")))
-        .withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
-        .where("__n > 0")
+        rows.join(F.broadcast(table), F.col("of").eqNullSafe(F.col("class")))
+        .withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u"))))
+        .where("n > 0")
     )
-    copies = counted.select(*kept, "__key", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-    placed = copies.withColumn("shuffle_key", _hash(seed + 1, F.col("__key"), F.col("copy").cast("string"))).drop("__key")
+    copies = counted.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    placed = copies.select("row", "copy", _hash(seed + 1, F.col("key"), F.col("copy").cast("string")).alias("shuffle_key"))
     part = F.floor(F.col("shuffle_key") / F.lit(_UNIT) * n).cast("int")
-    return placed.repartitionById(n, part).sortWithinPartitions("shuffle_key", doc_id, "copy")
+    dealt = placed.repartitionById(n, part).sortWithinPartitions("shuffle_key", F.col("row")[doc_id], "copy")
+    return dealt.select("row.*", "copy", "shuffle_key")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .mixing import mix
 from .packing import pack
+from .rules import quality_scores
 from .simhash import near_duplicates
 from .records import encode_and_read_back
 from .token_counts import token_counts
@@ -34,11 +35,15 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=3)
 
 
+def op6_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op10_pack_shortest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_poisson_mixing, op3_binary_records, op4_token_counts, op5_simhash_dedup, op10_pack_shortest_first)}
+QUERIES = {f.__name__: f for f in (op1_poisson_mixing, op3_binary_records, op4_token_counts, op5_simhash_dedup, op6_rule_quality, op10_pack_shortest_first)}
 
 _SHARES = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in WEIGHTS.items())
 ORACLE_SQL = {

@@ -142,6 +142,6 @@ def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 3, *, doc_id: str
     """The rows of ``docs`` that name their group: one document of each group. Rows without an id all stay,
     since no id can tell them apart; of rows with equal ids one stays."""
     found = near_duplicates(docs, words, max_bits, doc_id=doc_id, text=text)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    named = docs.join(stay, docs[doc_id].cast("long") == F.col("__stay"), "left_semi").dropDuplicates([doc_id])
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__near_duplicate_stay")).distinct()
+    named = docs.join(stay, F.col(doc_id).cast("long") == F.col("__near_duplicate_stay"), "left_semi").dropDuplicates([doc_id])
     return named.unionByName(docs.where(F.col(doc_id).isNull()))
