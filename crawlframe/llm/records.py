@@ -4,7 +4,7 @@ A record is::
 
     u64  length of the payload          all numbers little-endian
     u32  masked crc32 of those 8 bytes
-         payload: u8 1 if there is an id, else 0; i64 document id; u32 ids
+         payload: u8 1 if there is an id, else 0; i64 document id; u8 bytes of an id, 2 or 4; ids
     u32  masked crc32 of the payload
     u8   10, the end of the record
 
@@ -37,7 +37,7 @@ from .encoding import encoder
 FILE_BYTES = 32 << 20
 _MASK = 0xA282EAD8  # fixed value of the masking rule
 _HEAD = struct.Struct("<QI")
-_PAYLOAD = struct.Struct("<Bq")
+_PAYLOAD = struct.Struct("<BqB")
 _CRC = struct.Struct("<I")
 
 
@@ -45,8 +45,10 @@ def masked(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + _MASK) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
-    payload = _PAYLOAD.pack(doc_id is not None, doc_id or 0) + ids
+def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
+    """One record without its last byte. Ids take 2 bytes where all of them fit."""
+    width = 4 if len(ids) and ids.max() > 0xFFFF else 2
+    payload = _PAYLOAD.pack(doc_id is not None, doc_id or 0, width) + ids.astype(f"<u{width}").tobytes()
     length = len(payload).to_bytes(8, "little")
     return b"".join((length, _CRC.pack(masked(zlib.crc32(length))), payload, _CRC.pack(masked(zlib.crc32(payload)))))
 
@@ -55,7 +57,7 @@ class CorruptRecord(ValueError):
     """A length or checksum of a record doesn't hold."""
 
 
-def record_at(data: memoryview, at: int) -> tuple[int | None, memoryview, int]:
+def record_at(data: memoryview, at: int) -> tuple[int | None, np.ndarray, int]:
     """(document id, ids, position after the record) of the record that starts at ``at``."""
     if at + _HEAD.size > len(data):
         raise CorruptRecord(f"cut off at byte {at}")
@@ -65,17 +67,18 @@ def record_at(data: memoryview, at: int) -> tuple[int | None, memoryview, int]:
     start, end = at + _HEAD.size, at + _HEAD.size + length
     if end + 5 > len(data) or masked(zlib.crc32(data[start:end])) != _CRC.unpack_from(data, end)[0] or data[end + 4] != 10:
         raise CorruptRecord(f"payload at byte {start}")
-    has, doc_id = _PAYLOAD.unpack_from(data, start)
-    return doc_id if has else None, data[start + _PAYLOAD.size : end], end + 5
+    has, doc_id, width = _PAYLOAD.unpack_from(data, start)
+    ids = np.frombuffer(data[start + _PAYLOAD.size : end], dtype=f"<u{width}").astype("<u4")
+    return doc_id if has else None, ids, end + 5
 
 
 def _frames(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    enc, last = encoder(path), _CRC.pack(end_id)
+    enc, last = encoder(path), _CRC.pack(end_id)  # an id is 4 bytes as well
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
             ids = enc.encode(part.column(1).to_pylist())
-            framed = [frame(d, x + last) for d, x in zip(part.column(0).to_pylist(), ids, strict=True)]
+            framed = [frame(d, np.frombuffer(x + last, dtype="<u4")) for d, x in zip(part.column(0).to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["frame"])
 
 
@@ -103,8 +106,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, at, before, rows = int(file.split("-")[1]), 0, 0, []
             while at < len(data):
                 found, ids, after = record_at(data, at)
-                rows.append((file, part, found, at, after - at, before, len(ids) // 4, zlib.crc32(ids)))
-                before += len(ids) // 4
+                rows.append((file, part, found, at, after - at, before, len(ids), zlib.crc32(ids)))
+                before += len(ids)
                 at = after
                 if len(rows) == 10_000 or at == len(data):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -133,7 +136,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             data = memoryview(batch.column(0)[k].as_buffer())
             rows = [(w["rank"], *record_at(data, w["offset"])[:2]) for w in batch.column(1)[k].as_py()]
-            cols = [[r[0] for r in rows], [r[1] for r in rows], [bytes(r[2]) for r in rows]]
+            cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2].tobytes() for r in rows]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["rank", "doc_id", "ids"])
 
 
@@ -160,6 +163,3 @@ def encode_and_read_back(docs: DataFrame, tokenizer: str, end_id: int = 1, path:
     write_records(docs, path, tokenizer, end_id)
     return with_starts(materialize(read_index(spark, path), "offset-index"))
 
-
-def ids_array(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, dtype="<u4")
