@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .ivfpq import neighbours
 from .mixing import mix
 from .packing import pack
+from .records import encode_and_read_back
 from .rules import quality_scores
 from .simhash import near_duplicates
-from .records import encode_and_read_back
 from .token_counts import token_counts
+from .topk import top_k
 
 #: Target shares: a large source is held to a tenth, nine chosen ones get six hundredths each, all others the rest.
 WEIGHTS = {"src0": 0.10, **{f"src{k}": 0.06 for k in range(1, 10)}}
@@ -39,11 +41,19 @@ def op6_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op7_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
+def op8_ivfpq_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op10_pack_shortest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_poisson_mixing, op3_binary_records, op4_token_counts, op5_simhash_dedup, op6_rule_quality, op10_pack_shortest_first)}
+QUERIES = {f.__name__: f for f in (op1_poisson_mixing, op3_binary_records, op4_token_counts, op5_simhash_dedup, op6_rule_quality, op7_block_topk, op8_ivfpq_ann, op10_pack_shortest_first)}
 
 _SHARES = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in WEIGHTS.items())
 ORACLE_SQL = {
@@ -64,5 +74,14 @@ counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.id_key,
 SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,
        ('0x' || substr(md5('{SEED + 1}:' || id_key || ':' || copy), 1, 13))::BIGINT AS shuffle_key
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM counted WHERE n > 0)
+""",
+    "op7_block_topk": """
+WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.w, d.w)::BIGINT AS score
+      FROM w q JOIN w d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }
