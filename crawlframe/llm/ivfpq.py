@@ -204,9 +204,9 @@ def neighbours(
     every: int,
     k: int,
     lists: int | None = None,
-    probe_share: float = 0.5,
+    probe_share: float = 0.75,
     parts: int = 16,
-    rerank: int = 64,
+    rerank: int = 48,
     sample_rows: int = SAMPLE_ROWS,
     *,
     vec_id: str = "vec_id",
@@ -214,7 +214,7 @@ def neighbours(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each row whose id is divisible by ``every``.
 
-    ``lists``: number of centroids (by default the square root of the number of rows / 4, at most MAX_LISTS);
+    ``lists``: number of centroids (by default the number of rows to the power 0.4, at most MAX_LISTS);
     ``probe_share``: share of the lists that a query probes; ``rerank``: rows of each chunk scored exactly.
     """
     spark = vectors.sparkSession
@@ -223,7 +223,7 @@ def neighbours(
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], schema)
-    lists = lists or int(min(MAX_LISTS, max(4, (rows.count() ** 0.5) / 4)))
+    lists = lists or int(min(MAX_LISTS, max(4, rows.count() ** 0.4)))
     model = fit(padded([np.array(r["v"]) for r in sample]), lists, parts)
     n_lists = len(model.centroids)
     index = materialize(rows.select("id", "v").mapInArrow(partial(_indexed, model), _INDEX), "inverted-file")
