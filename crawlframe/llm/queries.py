@@ -9,6 +9,7 @@ from .common import table
 from .ivfpq import neighbours
 from .mixing import mix
 from .packing import pack
+from .pii import find_pii
 from .records import encode_and_read_back
 from .rules import quality_scores
 from .simhash import near_duplicates
@@ -24,6 +25,10 @@ def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), WEIGHTS, REST, EPOCHS, SEED)
 
 
+def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = encode_and_read_back(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return back.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
@@ -53,7 +58,7 @@ def op10_pack_shortest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_poisson_mixing, op3_binary_records, op4_token_counts, op5_simhash_dedup, op6_rule_quality, op7_block_topk, op8_ivfpq_ann, op10_pack_shortest_first)}
+QUERIES = {f.__name__: f for f in (op1_poisson_mixing, op2_pii_boosting, op3_binary_records, op4_token_counts, op5_simhash_dedup, op6_rule_quality, op7_block_topk, op8_ivfpq_ann, op10_pack_shortest_first)}
 
 _SHARES = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in WEIGHTS.items())
 ORACLE_SQL = {
