@@ -45,7 +45,7 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Generators of further candidates: name, kind of the span, pattern.
 GENERATORS = (
     ("token", "secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"),
-    ("written_email", "email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|(?<= )at(?= )) ?[A-Za-z0-9-]++ ?(?:\.|\(dot\)|\[dot\]|(?<= )dot(?= )) ?[A-Za-z]{2,24}(?![A-Za-z])"),
+    ("written_email", "email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|(?<= )at(?= )) ?[A-Za-z0-9-]++(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z]{2,24}(?![A-Za-z])"),
     ("local_phone", "phone", r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-]{1,2}[0-9]{3,4}[ .-][0-9]{3,5}(?![0-9.-])"),
     ("grouped_number", "id", r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7})(?![0-9A-Za-z-])"),
 )
@@ -179,6 +179,8 @@ def synthetic(seed: int = 5, n: int = SYNTHETIC_TEXTS) -> list[dict]:
             lambda: ("", f"{word()} at {word()}. {word().title()}"),
             lambda: ("", f"{word()} at {word()}.{word()}"),
             lambda: (rng.choice(["pages ", "in ", "sum ", ""]), f"{digits(2)} {digits(3)} {digits(3)}"),
+            lambda: (rng.choice(["order ", "number ", "", ""]), digits(rng.randint(16, 24))),
+            lambda: ("", f"{word()} at {word()}.{word().title()}"),
             lambda: ("version ", f"{digits(2)}.{digits(3)}.{digits(4)}"),
             lambda: ("", f"{word()}{digits(1)}-{word()}-{word()}{digits(2)}-{word()}"),
         ],
@@ -237,13 +239,13 @@ def _column(tree: dict, f: Column) -> Column:
     return F.when(f[FEATURES[tree["feature"]]] <= tree["bound"], _column(tree["low"], f)).otherwise(_column(tree["high"], f))
 
 
-def calibrate(z: np.ndarray, y: np.ndarray, precision: float = 0.97) -> float:
-    """The lowest score from which on at least ``precision`` of the candidates are private; infinity if none is."""
+def calibrate(z: np.ndarray, y: np.ndarray, precision: float = 0.99) -> float:
+    """The lowest score from which on at least ``precision`` of the candidates are private, but 0 at least; infinity if none is."""
     order = np.argsort(-z, kind="stable")
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     ends = np.append(z[order][1:] < z[order][:-1], True)
     good = np.flatnonzero((right >= precision) & ends)
-    return float(z[order][good[-1]]) if len(good) else float("inf")
+    return max(0.0, float(z[order][good[-1]])) if len(good) else float("inf")
 
 
 @lru_cache(maxsize=4)
@@ -302,7 +304,7 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     found = with_spans(docs, F.col(doc_id).cast("long").alias("doc_id"), text=text)
     base = F.concat(*[F.col(f"__base.{k}") for k in BASE])
     keyed = F.transform(F.concat(base, F.col("__more")), lambda s: F.struct(_rank(s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    everything = F.array_sort(F.array_distinct(keyed))
+    everything = F.array_sort(keyed)  # no generator repeats a base span: kinds or first characters differ
     return found.select(
         "doc_id", *[F.size(f"__base.{k}").cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(_listed(base), 256).alias("base_sha256"), _listed(everything).alias("spans"),
