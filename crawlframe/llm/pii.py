@@ -311,8 +311,11 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``docs`` with every span of its texts replaced by its kind in brackets; spans that overlap become one."""
+def redact(docs: DataFrame, *, text: str = "text", length: str | None = None) -> DataFrame:
+    """``docs`` with every span of its texts replaced by its kind in brackets; spans that overlap become one.
+
+    ``length``: a column that holds the text's code points, set anew.
+    """
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
     found = with_spans(docs, row, text=text)
     spans = F.array_sort(F.transform(F.concat(*[F.col(f"__base.{k}") for k in BASE], F.col("__more")), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("to"), s["kind"].alias("kind"))))
@@ -337,4 +340,5 @@ def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), segment)
     clean = F.when(n > 0, F.concat(F.array_join(blocks, ""), F.substr(t, end_of(n) + 1, F.length(t)))).otherwise(F.col("__row")[text])
-    return merged.select("__row", clean.alias("__clean")).select(*[(F.col("__clean") if c == text else F.col("__row")[c]).alias(c) for c in docs.columns])
+    new = {text: F.col("__clean")} | ({length: F.length("__clean").cast(docs.schema[length].dataType)} if length else {})
+    return merged.select("__row", clean.alias("__clean")).select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
