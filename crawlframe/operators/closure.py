@@ -26,7 +26,7 @@ def _written(df: DataFrame, label: str) -> DataFrame:
 
 def reach(edges: DataFrame, roots: DataFrame, max_levels: int | None = None) -> DataFrame:
     """(job_id, node, level): least fixpoint over edges (src, dst) from roots (job_id, node), levels from 0."""
-    spark, level = edges.sparkSession, 0
+    level = 0
     frontier = _written(roots.select("job_id", "node").distinct().withColumn("level", F.lit(0)), "level")
     seen = frontier
     while not frontier.isEmpty() and (max_levels is None or level < max_levels):
@@ -37,19 +37,56 @@ def reach(edges: DataFrame, roots: DataFrame, max_levels: int | None = None) ->
         seen = seen.unionByName(frontier)
         if level % 16 == 0:  # many small levels: keep the plan short
             seen = _written(seen, "seen")
-    del spark
     return seen
 
 
-def crawl(jobs: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+VISITS = "job_id long, url string, level int, parent string, pos int, outcome string, words long, ext string, error string, error_status int, done boolean"
+_VISIT_COLUMNS = [f.split()[0] for f in VISITS.split(", ")]
+#: A crawl whose jobs and links multiply to no more than this is walked in one place: rounds of jobs would cost more than the work.
+SMALL_VISITS = 100_000
+SMALL_ROWS = 20_000
+
+
+def _walk(jobs: list[tuple[int, str]], table: dict[str, dict]) -> tuple[list[tuple], list[tuple]]:
+    """The same closure over a small table, one job after another: (visits, (job_id, base, error))."""
+    visits, ends = [], []
+    for job_id, base in jobs:
+        home, seen = urls.parse(base), {base}
+        level, now, error = 0, [(base, None, 0)], None
+        while now and error is None:
+            got = [(url, parent, pos, table.get(url, {"outcome": "no-file"})) for url, parent, pos in now]
+            error = next((o["error"] for _, _, _, o in got if o.get("error")), None)
+            later = []
+            for url, parent, pos, o in got:
+                visits.append((job_id, url, level, parent, pos, o.get("outcome"), o.get("words"), o.get("ext"), o.get("error"), o.get("error_status"), error is None))
+                for k, child in enumerate((o.get("links") or []) if error is None else []):
+                    if child not in seen and child.startswith(base) and urls.in_scope(urls.parse(child), home):
+                        seen.add(child)
+                        later.append((child, url, k))
+            now, level = later, level + 1
+        ends.append((job_id, base, error))
+    return visits, ends
+
+
+def crawl(jobs: DataFrame, outcomes: DataFrame, small: bool = True) -> tuple[DataFrame, DataFrame]:
     """(visits, states) of jobs (job_id, base), over outcomes as ``classify`` makes them.
 
-    visits: job_id, url, level, parent, pos, outcome, words, ext, error, done. A URL without an outcome is
-    absent: processed, no file. If a level of a job holds an error, levels before it are published, that
-    level stays as the frontier, and the first failing URL in breadth-first order names the failure.
-    states: job_id, base, state (done or failed), failure.
+    visits: job_id, url, level, parent, pos, outcome, words, ext, error, error_status, done. A URL without an
+    outcome is absent: processed, no file. If a level of a job holds an error, levels before it are published,
+    that level stays as the frontier, and the first failing URL in breadth-first order names the failure.
+    states: job_id, base, state (done or failed), failure. ``small``: whether a crawl under the two limits
+    above, which are checked first, may be walked in one place; the result is the same.
     """
+    spark = jobs.sparkSession
     outcomes = _written(outcomes, "outcomes")
+    if small:
+        size = outcomes.agg(F.count("*").alias("rows"), F.sum(F.size("links") + 1).alias("links")).first()
+        some = jobs.select("job_id", "base").limit(SMALL_ROWS + 1).collect() if size["rows"] <= SMALL_ROWS else []
+        if size["rows"] <= SMALL_ROWS and len(some) * (size["links"] or 1) <= SMALL_VISITS:
+            table = {r["url"]: r.asDict() for r in outcomes.collect()}
+            visits, ends = _walk([(r["job_id"], r["base"]) for r in some], table)
+            ended = spark.createDataFrame(ends, "job_id long, base string, error string")
+            return spark.createDataFrame(visits, VISITS), _states(ended)
     known = jobs.select("job_id", "base")
     frontier = known.select("job_id", F.col("base").alias("url"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("rank"))
     levels: list[DataFrame] = []
@@ -61,7 +98,7 @@ def crawl(jobs: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
         bad = hit.where("error is not null").groupBy("job_id").agg(F.min_by("error", "rank").alias("why"))
         hit = hit.join(bad, "job_id", "left").withColumn("done", F.col("why").isNull())
         hit = _written(hit, "visits")
-        levels.append(hit.drop("links", "why", "rank"))
+        levels.append(hit.select(*_VISIT_COLUMNS))
         stopped = hit.where("not done").select("job_id", F.col("why").alias("error")).distinct()
         failed = stopped if failed is None else failed.unionByName(stopped)
         seen = hit.select("job_id", "url") if seen is None else seen.unionByName(hit.select("job_id", "url"))
@@ -79,7 +116,8 @@ def crawl(jobs: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     visits = levels[0]
     for more in levels[1:]:
         visits = visits.unionByName(more)
-    states = known.join(failed, "job_id", "left").select(
-        "job_id", "base", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("state"), failure_column("error").alias("failure")
-    )
-    return visits, states
+    return visits, _states(known.join(failed, "job_id", "left").select("job_id", "base", "error"))
+
+
+def _states(ended: DataFrame) -> DataFrame:
+    return ended.select("job_id", "base", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("state"), failure_column("error").alias("failure"))
