@@ -69,7 +69,7 @@ def _walk(jobs: list[tuple[int, str]], table: dict[str, dict]) -> tuple[list[tup
 
 
 def crawl(jobs: DataFrame, outcomes: DataFrame, small: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(visits, states) of jobs (job_id, base), over outcomes as ``classify`` makes them.
+    """(visits, states) of jobs (job_id, base), over outcomes as ``classify`` makes them, one a URL.
 
     visits: job_id, url, level, parent, pos, outcome, words, ext, error, error_status, done. A URL without an
     outcome is absent: processed, no file. If a level of a job holds an error, levels before it are published,
@@ -78,7 +78,7 @@ def crawl(jobs: DataFrame, outcomes: DataFrame, small: bool = True) -> tuple[Dat
     above, which are checked first, may be walked in one place; the result is the same.
     """
     spark = jobs.sparkSession
-    outcomes = _written(outcomes, "outcomes")
+    outcomes = _written(outcomes.dropDuplicates(["url"]), "outcomes")
     if small:
         size = outcomes.agg(F.count("*").alias("rows"), F.sum(F.size("links") + 1).alias("links")).first()
         some = jobs.select("job_id", "base").limit(SMALL_ROWS + 1).collect() if size["rows"] <= SMALL_ROWS else []

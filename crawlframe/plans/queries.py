@@ -127,10 +127,10 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _t(spark, sf_dir, "pages").select("page_id", urls.drop_fragment(F.col("url")).alias("url"))
-    found = _outcomes(spark, sf_dir).select("url", F.explode("links").alias("link"))
-    same = urls.origin_column(F.col("url")) == urls.origin_column(F.col("link"))
-    return found.where(same).join(ids, "url").select("page_id", "link")
+    pages = _t(spark, sf_dir, "pages").select("page_id", urls.drop_fragment(F.col("url")).alias("url"), F.col("html").cast("binary").alias("body"))
+    found = pages.select("page_id", "url", outcomes.extract_page("url", "body", F.lit("text/html; charset=utf-8"), F.lit(False)).alias("got"))
+    linked = found.select("page_id", "url", F.explode("got.links").alias("link"))
+    return linked.where(urls.origin_column(F.col("url")) == urls.origin_column(F.col("link"))).select("page_id", "link")
 
 
 @query(f"SELECT page_id, count(*)::BIGINT AS links, min(link) AS first_link FROM ({_LINKS}) GROUP BY page_id")
@@ -167,16 +167,17 @@ def unseen_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH base AS (SELECT {_ORIGIN} || '/' AS base, row_number() OVER (ORDER BY {_ORIGIN}) AS job_id FROM pages GROUP BY {_ORIGIN}),
-found AS (SELECT base.job_id, {_EXT} AS ext, {_WORDS} AS words FROM pages JOIN base ON starts_with({_NO_FRAGMENT}, base.base))
+one AS (SELECT {_NO_FRAGMENT} AS url, min(html) AS html FROM pages GROUP BY 1),
+found AS (SELECT base.job_id, {_WORDS} AS words FROM one JOIN base ON starts_with({_NO_FRAGMENT}, base.base))
 SELECT job_id, count(*)::BIGINT AS num_files, sum(words)::BIGINT AS total_word_count FROM found GROUP BY job_id""")
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl job a host: its root links to every page of the host."""
-    pages = _t(spark, sf_dir, "pages").select(urls.drop_fragment(F.col("url")).alias("url"), "html")
+    pages = _t(spark, sf_dir, "pages").groupBy(urls.drop_fragment(F.col("url")).alias("url")).agg(F.min("html").alias("html"))  # one response a URL
     hosts = pages.groupBy(F.concat(urls.origin_column(F.col("url")), F.lit("/")).alias("base")).agg(
         F.concat_ws("", F.transform(F.collect_list("url"), lambda u: F.concat(F.lit("<a href=\""), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("\"></a>")))).alias("html")
     )
     known = hosts.select("base", F.row_number().over(Window.orderBy("base")).cast("long").alias("job_id"))
-    roots = snapshot.from_pages(hosts.select(F.col("base").alias("url"), "html")).where(~F.col("url").isin([]))
+    roots = snapshot.from_pages(hosts.select(F.col("base").alias("url"), "html"))
     visits, states = closure.crawl(known, outcomes.classify(snapshot.from_pages(pages).unionByName(roots)))
     got = stats.job_stats(visits.where("level > 0"), states)
     return got.select("job_id", "num_files", F.col("total_word_count").cast("long").alias("total_word_count"))
