@@ -1,0 +1,475 @@
+"""Operators on texts against brute force: mixing, PII, records, counts, SimHash, packing, and the pipeline."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from crawlframe.llm import encoding, mixing, packing, pii, records, rules, simhash, token_counts
+from crawlframe.llm.common import scratch_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+ODD = [
+    None, "", " ", "\n", "a", "  a  b ", "a\n\nb\n", "x<|endoftext|>y <|startoftext|> z", "DON'T we'll it's", "é ́x ﬁ Ω", "日本語 テキスト 😀👍🏽", "12 345 ½²", "\x1c a\x85b c", "~ tilde ~x", "tab\tand\rreturn",
+    "word " * 3000, "z" * 9000, "ab" * 4000 + " end", "....!!!???" * 20, " private", "ſtrange İstanbul ΑΣ ΣΑΣ", "a%b$c#d| e|",
+]
+
+
+def documents(spark, texts, start=0):
+    rows = [(start + k, t, "en", f"src{k % 3}" if k % 5 else None, len(t or "")) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts, a repeated row, null ids and columns whose names clash with the operators' own."""
+    df = documents(spark, ODD)
+    more = spark.createDataFrame([(3, "\n", "en", "src0", 1), (None, "no id", None, None, None), (None, None, None, None, None)], SCHEMA)
+    return df.unionByName(more).selectExpr("*", "1 as copy", "'x' as __text", "2 as fp", "3 as h", "4 as id", "5 as length", "6 as start", "7 as row", "8 as part", "9 as n", "10 as u", "11 as __near_duplicate_stay_")
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def ids_of(path, text):
+    tk = Tokenizer.from_file(path)
+    return np.array(tk.encode(text or "", add_special_tokens=False).ids, dtype="<u4")
+
+
+# ---------------------------------------------------------------- encoding
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_chunked_encoding_is_the_library_s(path):
+    rng = random.Random(4)
+    alphabet = [" ", "\n", "a", "Bc", ".", " ", "\t", "é", "1", "<|endoftext|>", "'s", "́", "~", "\xa0", "\x1c", "!!", "the", "ing"]
+    texts = [t or "" for t in ODD] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    tk = Tokenizer.from_file(path)
+    want = [np.array(tk.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert encoding.CachedEncoder(path).encode(texts) == want
+
+
+def test_long_texts_are_cut_where_it_is_safe():
+    text = "one two,  three\nfour " * 4000
+    assert "".join(encoding.text_slices(text, 1000)) == text and len(list(encoding.text_slices(text, 1000))) > 50
+    assert encoding.CachedEncoder(BYTE).encode([text])[0] == ids_of(BYTE, text).tobytes()
+
+
+def test_a_full_cache_changes_nothing(monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE_ENTRIES", 5)
+    enc = encoding.CachedEncoder(BYTE)
+    for _ in range(3):
+        assert enc.encode([t or "" for t in ODD]) == [ids_of(BYTE, t).tobytes() for t in ODD]
+
+
+# ---------------------------------------------------------------- 1 mixing
+
+
+def brute_mix(rows, weights, rest, epochs, seed):
+    unit = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:13], 16)
+    cls = lambda r: r.source if r.source in weights else None
+    size = Counter()
+    for r in rows:
+        size[cls(r)] += len((r.text or "").encode()) + 1
+    share = {c: weights.get(c, rest) for c in size}
+    out = []
+    for r in rows:
+        c = cls(r)
+        rate = epochs * sum(size.values()) * share[c] / sum(share.values()) / size[c] if sum(share.values()) else 0
+        key = str(r.doc_id) if r.doc_id is not None else "t" + (r.text or "")
+        u = (unit(f"{seed}:{key}") + 0.5) / 16**13
+        n, below = 0, math.exp(-rate)
+        while rate and below <= u:
+            n += 1
+            assert n < 10_000
+            below += math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
+        out += [(r.doc_id, r.text, k, unit(f"{seed + 1}:{key}:{k}")) for k in range(1, n + 1)]
+    return out
+
+
+@pytest.mark.parametrize(("weights", "rest", "epochs"), [({"src0": 0.7, "src1": 0.1}, 0.2, 3.0), ({}, 1.0, 1.0), ({"src0": 1.0}, 0.0, 10.0)])
+def test_mixing(spark, odd, weights, rest, epochs):
+    got = mixing.mix(odd, weights, rest, epochs, 5).collect()
+    key = lambda rows: sorted(map(str, rows))
+    assert key((r.doc_id, r.text, r.copy, r.shuffle_key) for r in got) == key(brute_mix(odd.collect(), weights, rest, epochs, 5))
+    assert [r.shuffle_key for r in got] == sorted(r.shuffle_key for r in got)
+
+
+def test_mixing_reaches_its_shares(spark):
+    docs = spark.range(6000).selectExpr("id as doc_id", "repeat('x', 20 + int(id % 30)) as text", "'en' as lang", "if(id % 3 = 0, 'big', concat('s', id % 4)) as source", "1L as n_chars")
+    size = Counter()
+    for r in mixing.mix(docs, {"big": 0.1, "s1": 0.6}, 0.3, 2.0).collect():
+        size[r.source if r.source in ("big", "s1") else None] += len(r.text) + 1
+    whole = sum(len(r.text) + 1 for r in docs.collect())
+    assert abs(sum(size.values()) / whole - 2) < 0.1
+    assert all(abs(size[c] / sum(size.values()) - s) < 0.03 for c, s in (("big", 0.1), ("s1", 0.6), (None, 0.3)))
+
+
+def test_mixing_of_nothing(spark):
+    assert mixing.mix(empty(spark), {"a": 1.0}).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(empty(spark), {"a": -1.0})
+
+
+# ---------------------------------------------------------------- 2 PII
+
+
+def luhn(digits):
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        total += d if k % 2 == 0 else sum(divmod(2 * d, 10))
+    return total % 10 == 0
+
+
+def base_spans(t):
+    out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda m: [int(c) for c in m[0] if c.isdigit()]
+    out += [("card", m) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
+    return [(k, m.start(), m.end()) for k, m in out]
+
+
+PRIVATE = [
+    None, "", "mail a.b+c@d-e.f.gh, x@y.z+q@r.st", "10.0.0.1 256.1.1.1 1.2.3.4.5.6.7.8 0000255.001.1.0", "4111 1111-1111 1111 and 4111  111111111111 5500000000000004x", "+1 (555) 123-4567 +49.30.123456 ++12345678901 +1",
+    "é😀 a@b.cc 😀 1.1.1.1", "\x01a@b\x01c.d \x02 4111\x011111 1111 1111", "0" * 16, "a@b", "1.2.3", "@.@a.b", "+1" + "(" * 500, "x@y.zz " * 300, "4111 1111 1111 1111 " * 150,
+]
+
+
+def test_base_spans_and_digest(spark):
+    rng = random.Random(9)
+    alphabet = ["1", "2", "4111111111111111", "a", "b.c", "@", ".", "-", " ", "+", "(", ")", "192.168.1.1", "x@y.z", "+1 (555) 123-4567", "é", "😀", "\x01", "0", "%", "\n"]
+    texts = PRIVATE + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    got = {r.doc_id: r for r in pii.find_pii(documents(spark, texts).selectExpr("*", "1 as __base", "2 as spans")).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        want = base_spans(t or "")
+        listed = [f"{kind}:{a}:{b}" for kind, a, b in want]
+        assert got[k].base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest(), t
+        assert set(listed) <= set(filter(None, got[k].spans.split(",")))
+        n = Counter(kind for kind, _, _ in want)
+        assert (got[k].n_email, got[k].n_ip, got[k].n_card, got[k].n_phone) == tuple(n[x] for x in pii.BASE)
+
+
+def test_the_trees_find_secrets_and_leave_prose(spark):
+    private = ['the token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6" here', "write to ann (at) example [dot] org now", "call (555) 123-4567 today", "ssn 123-45-6789 given"]
+    plain = ["unquestionably-misunderstood-characterization", "meet at noon. Then go", "in 2019 2020 and 2021", "one at the other", "___________________________", "internationalization"]
+    got = {r.doc_id: r.spans for r in pii.find_pii(documents(spark, private + plain)).collect()}
+    assert all(got[k] for k in range(len(private))) and not any(got[k] for k in range(len(private), len(private + plain)))
+
+
+def test_redaction(spark):
+    docs = documents(spark, PRIVATE).selectExpr("*", "1 as __m", "2 as __row")
+    got = {r.doc_id: r for r in pii.redact(docs, length="n_chars").collect()}
+    spans = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
+    for k, t in enumerate(PRIVATE):
+        if t is None:
+            assert got[k].text is None
+            continue
+        cut = sorted((int(a), -int(b), kind) for kind, a, b in (s.split(":") for s in spans[k].split(",") if s))
+        merged = []
+        for a, b, kind in cut:
+            if merged and merged[-1][1] > a:
+                merged[-1][1] = max(merged[-1][1], -b)
+            else:
+                merged.append([a, -b, kind])
+        want = t
+        for a, b, kind in reversed(merged):
+            want = want[:a] + f"[{kind.upper()}]" + want[b:]
+        assert got[k].text == want and got[k].n_chars == len(want) and got[k]["__m"] == 1 and got[k]["__row"] == 2
+    assert pii.redact(empty(spark)).count() == 0 and pii.find_pii(empty(spark)).count() == 0
+
+
+def test_calibration_keeps_its_precision():
+    z, y = np.array([3.0, 2.0, 2.0, 1.0, 0.5]), np.array([1, 1, 0, 1, 0])
+    assert pii.calibrate(z, y, 0.9) == 3.0 and pii.calibrate(z, y, 0.75) == 1.0 and pii.calibrate(z, np.zeros(5)) == float("inf")
+
+
+# ---------------------------------------------------------------- 3 records
+
+
+def test_records_round_trip(spark, odd):
+    path = scratch_path(spark, "test-records")
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in records.encode_and_read_back(odd, WORD, 1, path).collect()]
+    rows = [(r.doc_id, np.append(ids_of(WORD, r.text), 1).astype("<u4")) for r in odd.collect()]
+    assert len(got) == len(rows) and Counter((d, n, c) for d, _, n, c in got) == Counter((d, len(x), zlib.crc32(x.tobytes())) for d, x in rows)
+    at = 0
+    for d, start, n, _ in sorted(got, key=lambda r: r[1]):
+        assert start == at
+        at += n
+    order = [d for d, *_ in sorted(got, key=lambda r: r[1])]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+    index = records.read_index(spark, path)
+    one, two = (records.read_shuffled(spark, path, index, s).collect() for s in (1, 2))
+    assert Counter((r.doc_id, bytes(r.ids)) for r in one) == Counter((d, x.tobytes()) for d, x in rows) and [r.doc_id for r in one] != [r.doc_id for r in two]
+
+
+def test_records_of_nothing(spark):
+    assert records.encode_and_read_back(empty(spark), WORD).count() == 0
+
+
+def test_damage_is_found():
+    good = records.frame(7, np.array([1, 70000], dtype="<u4")) + b"\n" + records.frame(None, np.array([5], dtype="<u4")) + b"\n"
+    first, ids, at = records.record_at(memoryview(good), 0)
+    assert (first, ids.tolist()) == (7, [1, 70000]) and records.record_at(memoryview(good), at)[0] is None
+    for k in range(at):
+        bad = bytearray(good)
+        bad[k] ^= 1
+        with pytest.raises(records.CorruptRecord):
+            records.record_at(memoryview(bad), 0)
+    with pytest.raises(records.CorruptRecord):
+        records.record_at(memoryview(good)[: at - 1], 0)
+
+
+# ---------------------------------------------------------------- 4 counts
+
+
+def test_token_counts(spark, odd):
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(odd, BYTE).collect())
+    want = Counter()
+    for r in odd.collect():
+        n = len(ids_of(BYTE, r.text))
+        want[(r.doc_id, len((r.text or "").encode()), n, n > 512)] += 1
+    assert got == want and token_counts.token_counts(empty(spark), BYTE).count() == 0
+
+
+def test_rounds_and_heap_agree():
+    c = token_counts.TokenCounter(BYTE)
+    rng = random.Random(2)
+    words = [bytes(rng.choice(b"abcth eing\xc3\xa9") for _ in range(rng.randint(1, 60))) for _ in range(400)] + [b"a" * k for k in range(1, 40)]
+    assert c.merge_counts(words).tolist() == [c._long(w) for w in words]
+
+
+# ---------------------------------------------------------------- 5 SimHash
+
+
+def brute_fingerprint(text, words=3):
+    parts = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not parts:
+        return 0
+    shingles = [" ".join(parts[k : k + words]) for k in range(len(parts) - words + 1)] or [" ".join(parts)]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_groups(rows, max_bits):
+    prints = [brute_fingerprint(r.text) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= max_bits:
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r.doc_id is not None:
+            least[find(i)] = min(least.get(find(i), r.doc_id), r.doc_id)
+    return Counter((r.doc_id, f"{p:016x}", least.get(find(i))) for i, (r, p) in enumerate(zip(rows, prints, strict=True)))
+
+
+def near_texts(n=60):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    out = []
+    for _ in range(n):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(80, 300))]
+        out.append(" ".join(words))
+        for _ in range(rng.randint(0, 4)):
+            copy = list(words)
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            out.append(" ".join(copy))
+    return out
+
+
+def test_near_duplicates(spark, odd):
+    docs = odd.select("doc_id", "text").unionByName(documents(spark, near_texts(), 100).select("doc_id", "text"))
+    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs.selectExpr("*", "1 as fp", "2 as rep")).collect())
+    assert got == brute_groups(docs.collect(), 3)
+
+
+@pytest.mark.parametrize("max_bits", [0, 1, 3, 5])
+def test_links_lose_none_and_repeat_none(spark, max_bits):
+    rng = random.Random(max_bits)
+    prints = {0, (1 << 64) - 1}
+    for _ in range(60):
+        p = rng.getrandbits(64)
+        prints.add(p)
+        for _ in range(6):
+            q = p
+            for b in rng.sample(range(64), rng.randint(1, max_bits + 2)):
+                q ^= 1 << b
+            prints.add(q)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    got = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), max_bits).collect()]
+    want = {tuple(sorted((signed(p), signed(q)))) for p in prints for q in prints if p < q and (p ^ q).bit_count() <= max_bits}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    chain = [(k, k + 1) for k in range(0, 90)]
+    rng = random.Random(3)
+    rng.shuffle(chain)
+    star = [(1000, 1000 + k) for k in range(1, 50)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain + star + [(5, 5)], "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(1, 91)} | {1000 + k: 1000 for k in range(1, 50)}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_each_group_stays(spark, odd):
+    docs = documents(spark, near_texts(20), 100)
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    kept = simhash.keep_one(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(groups.values())) and kept.columns == docs.columns
+    rows = simhash.keep_one(odd.drop("__near_duplicate_stay_")).collect()
+    ids = [r.doc_id for r in rows if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and sum(r.doc_id is None for r in rows) == 2
+    assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
+
+
+# ---------------------------------------------------------------- 6 quality
+
+
+def quality_corpus(spark, n=900):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    rows, labels = [], []
+    for k in range(n):
+        good = k % 3 != 0
+        words = [word() for _ in range(rng.randint(20, 120))]
+        text = " ".join(words) if good else rng.choice([" ".join(w + "$$$" for w in words), " ".join(w.upper() + "!!" for w in words), " | ".join(words), " ".join([words[0]] * len(words))])
+        rows.append((k, text, "en", "s", len(text)))
+        labels.append((k, int(good), 0))
+    return spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_rules_predict_held_out_labels(spark):
+    docs, labels = quality_corpus(spark)
+    got = {r.doc_id: r for r in rules.quality_scores(docs, labels).collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [k for k in truth if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert {k for k, r in got.items() if r.held_out} == set(held)
+    assert sum(got[k].predicted == truth[k] for k in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
+    kept = {r.doc_id for r in rules.keep_good(docs, labels).collect()}
+    assert kept == {k for k, r in got.items() if r.predicted}
+
+
+def test_columns_and_arrays_score_alike(spark):
+    docs, labels = quality_corpus(spark, 300)
+    model = rules.learn(docs, labels)
+    assert 0 < len(model.rules)
+    table = rules.with_statistics(docs, docs.doc_id).withColumn("score", model.column()).collect()
+    x = np.array([[r[k] for k in rules.STATISTICS] for r in table])
+    assert np.allclose(model.score(x), [r.score for r in table])
+    assert model == rules.learn(docs.repartition(7), labels.repartition(3))
+
+
+def test_held_out_labels_are_never_read(spark):
+    docs, labels = quality_corpus(spark, 300)
+    flipped = labels.selectExpr("doc_id", "if(crc32(cast(doc_id as string)) % 4 = 2, 1 - quality, quality) as quality", "toxic")
+    assert rules.learn(docs, labels) == rules.learn(docs, flipped)
+
+
+def test_quality_of_odd_tables(spark, odd):
+    docs, labels = quality_corpus(spark, 300)
+    twice = labels.unionByName(labels.limit(20)).unionByName(spark.createDataFrame([(None, 1, 0), (1, None, 0)], labels.schema))
+    got = rules.quality_scores(odd, twice)
+    assert got.count() == odd.count() and got.where("score is null or held_out is null").count() == 0
+    assert rules.quality_scores(empty(spark), labels).count() == 0
+    assert {r.score for r in rules.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
+    assert len({r.score for r in rules.quality_scores(docs, labels.where("quality = 1")).collect()}) == 1
+    assert rules.keep_good(odd, labels).columns == odd.columns
+
+
+# ---------------------------------------------------------------- 10 packing
+
+
+def test_packing(spark, odd):
+    got = packing.pack(odd, BYTE, 1, 64).collect()
+    texts = Counter()
+    for r in odd.collect():
+        data = np.append(ids_of(BYTE, r.text), 1).astype("<u4")
+        for at in range(0, len(data), 64):
+            piece = data[at : at + 64]
+            texts[(r.doc_id, at, len(piece), zlib.crc32(piece.tobytes()), len(data))] += 1
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == texts
+    packs = defaultdict(list)
+    for r in got:
+        packs[r.sequence_id].append((r.offset, r.length, r.sequence_tokens, r.padded_length))
+    for pieces in packs.values():
+        at = 0
+        for offset, length, total, padded in sorted(pieces):
+            assert offset == at
+            at += length
+            assert padded == (total if total & (total - 1) == 0 else 64)
+        assert at == pieces[0][2] <= 64
+    assert sorted(packs) == list(range(len(packs)))
+    assert packing.pack(empty(spark), BYTE).count() == 0
+
+
+def test_plans_fill_and_place_every_piece_once():
+    rng = random.Random(5)
+    for _ in range(30):
+        top = rng.choice([8, 64, 2048])
+        histogram = {rng.randint(1, top): rng.randint(1, 500) for _ in range(rng.randint(1, 60))}
+        placed, packs = Counter(), defaultdict(list)
+        for length, lo, hi, first, offset in packing.plan_packs(histogram, top):
+            placed[length] += hi - lo
+            for k in range(hi - lo):
+                packs[first + k].append((offset, length))
+        assert placed == Counter(histogram)
+        for pieces in packs.values():
+            at = 0
+            for offset, length in sorted(pieces):
+                assert offset == at
+                at += length
+            assert at <= top
+    many = Counter(rng.randint(1, 2048) for _ in range(20000))
+    used = {s[3] + k for s in packing.plan_packs(many, 2048) for k in range(s[2] - s[1])}
+    assert sum(k * v for k, v in many.items()) / (2048 * len(used)) > 0.98
+
+
+# ---------------------------------------------------------------- pipeline
+
+
+def test_pipeline_stages_follow_each_other(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    docs, labels = quality_corpus(spark, 240)
+    extra = spark.createDataFrame([(1000 + k, f"mail me at a{k}@b.example please " + " ".join(f"w{k}x{j}" for j in range(40)), "en", "s", 1) for k in range(5)], SCHEMA)
+    copies = docs.where("doc_id < 30").selectExpr("doc_id + 5000 as doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.unionByName(extra).unionByName(copies)
+    for name, df in (("documents", docs), ("labels", labels)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    sf = f"file://{tmp_path}"
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = {}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, now, sf)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/out-{name}")
+        now = spark.read.parquet(f"{tmp_path}/out-{name}")
+        seen[name] = now.collect()
+    good = {r.doc_id for r in rules.quality_scores(docs, labels).where("predicted = 1").collect()}
+    assert {r.doc_id for r in seen["quality"]} == good
+    assert {r.doc_id for r in seen["near_duplicates"]} == {r.doc_id for r in seen["quality"]} - {k for k in good if k >= 5000 and k - 5000 in good}
+    assert len(seen["personal_data"]) == len(seen["near_duplicates"]) and not any("@" in r.text for r in seen["personal_data"])
+    want = Counter((r[0], r[1]) for r in brute_mix(seen["personal_data"], cp.WEIGHTS, cp.REST, cp.EPOCHS, cp.SEED))
+    assert Counter((r.doc_id, r.text) for r in seen["mixing"]) == want
+    final = cp.run(spark, sf)
+    assert sum(r.length for r in final.collect()) == sum(len(ids_of(BYTE, r.text)) + 1 for r in seen["mixing"])
