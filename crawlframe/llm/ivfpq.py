@@ -132,7 +132,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _ASK = "list int, no long, places binary, q_ids binary, q binary, q_width int"
 
 
-def _probed(model: Model, probes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _probed(model: Model, probes: int, sizes: np.ndarray, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Queries in blocks by the lists they probe."""
     from pyspark import TaskContext
 
@@ -144,11 +144,14 @@ def _probed(model: Model, probes: int, batches: Iterator[pa.RecordBatch]) -> Ite
             sub = batch.slice(k, QUERY_ROWS)
             ids, q = sub.column(0).to_numpy(), padded(batch_rows(sub))
             near = -(_fitted(list(q), model.width) @ model.centroids.T)
-            n = min(probes, near.shape[1])
-            mine = np.argpartition(near, n - 1, axis=1)[:, :n]
+            order = np.argsort(near, axis=1, kind="stable")
+            before = np.cumsum(sizes[order], axis=1) - sizes[order]
+            taken = (np.arange(order.shape[1])[None, :] < probes) | (before < least)
+            mine = np.zeros(near.shape, dtype=bool)
+            np.put_along_axis(mine, order, taken, axis=1)
             rows = []
-            for c in np.unique(mine):
-                places = np.flatnonzero((mine == c).any(axis=1))
+            for c in np.flatnonzero(mine.any(axis=0)):
+                places = np.flatnonzero(mine[:, c])
                 rows.append((int(c), (part << 32) | made, places.astype(np.int64).tobytes(), ids[places].tobytes(), q[places].tobytes(), q.shape[1]))
             made += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -215,7 +218,7 @@ def neighbours(
     """query_id, rank, vec_id, score: the ``k`` nearest found for each row whose id is divisible by ``every``.
 
     ``lists``: number of centroids (by default the number of rows to the power 0.4, at most MAX_LISTS);
-    ``probe_share``: share of the lists that a query probes; ``rerank``: rows of each chunk scored exactly.
+    ``probe_share``: share of the lists that a query probes (more, where those hold fewer than ``k`` others); ``rerank``: rows of each chunk scored exactly.
     """
     spark = vectors.sparkSession
     rows = finite_vectors(vectors, vec_id, embedding).where(F.exists("v", lambda x: x != 0))
@@ -229,11 +232,16 @@ def neighbours(
     index = materialize(rows.select("id", "v").mapInArrow(partial(_indexed, model), _INDEX), "inverted-file")
     # every list is dealt to several tasks, hot or not; a task cuts what it gets of a list into chunks
     dealt = index.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).repartition("list", "salt").sortWithinPartitions("list", "id")
-    size = index.groupBy("list").count().agg(F.max("count").alias("n")).first()["n"]
-    if size <= CHUNK_ROWS:
+    sizes = np.zeros(n_lists, dtype=np.int64)
+    for r in index.groupBy("list").count().collect():  # MAX_LISTS rows at most
+        sizes[r["list"]] = r["count"]
+    if sizes.max() <= CHUNK_ROWS:
         dealt = index.repartition("list").sortWithinPartitions("list", "id")
     chunks = materialize(dealt.select("id", "v", "list", "code").mapInArrow(_chunked, _CHUNK), "chunks")
-    asks = rows.where(F.col("id") % every == 0).select("id", "v").mapInArrow(partial(_probed, model, max(1, round(probe_share * n_lists))), _ASK)
+    queries = rows.where(F.col("id") % every == 0).select("id", "v")
+    own = queries.groupBy("id").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    # whatever the share, a query's lists hold k rows besides its own, if there are so many
+    asks = queries.mapInArrow(partial(_probed, model, max(1, round(probe_share * n_lists)), sizes, k + own), _ASK)
     asks = materialize(asks, "probes")
     pairs = asks.join(chunks, "list").select("list", "no", "places", "q_ids", "q", "q_width", "ids", chunks["v"], "code")
     found = pairs.mapInArrow(partial(_searched, model, k, rerank), "no long, place long, query_id long, vec_id long, score double")
