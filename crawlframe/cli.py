@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +78,24 @@ class Commands:
         self.out(found["line"])
         return 1 if row.first()["state"] in ("failed", "aborted") else 0
 
+    def follow(self, job_id: int, pause: float = 0.5) -> int:
+        """Print the job's line whenever it changes, until it has ended. Interrupted: 130."""
+        last = None
+        try:
+            while True:
+                row = self._progress().where(F.col("job_id") == job_id)
+                found = jobs.progress_text(row).join(row.select("job_id", "state"), "job_id").first()
+                if found is None:
+                    raise LookupError("UnknownJob")
+                if found["line"] != last:
+                    last = found["line"]
+                    self.out(last)
+                if found["state"] in jobs.TERMINAL:
+                    return 0 if found["state"] == "done" else 1
+                time.sleep(pause)
+        except KeyboardInterrupt:
+            return 130
+
     def stats(self, job_id: int) -> int:
         answer = jobs.readable(self.spark.createDataFrame([(job_id,)], "job_id long"), self._own()).first()["answer"]
         if answer != "ok":
@@ -112,6 +131,8 @@ def main(argv: list[str], commands: Commands) -> int:
                 return commands.jobs()
             case ["status", number]:
                 return commands.status(_job(number))
+            case ["status", "-f", number] | ["status", number, "-f"]:
+                return commands.follow(_job(number))
             case ["stats", number]:
                 return commands.stats(_job(number))
             case ["abort", "--all"]:
@@ -123,7 +144,7 @@ def main(argv: list[str], commands: Commands) -> int:
     except (ValueError, LookupError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
-    print("usage: submit URL... | jobs | status JOB | stats JOB | abort JOB|--all | check", file=sys.stderr)
+    print("usage: submit URL... | jobs | status [-f] JOB | stats JOB | abort JOB|--all | check", file=sys.stderr)
     return 2
 
 

@@ -7,19 +7,17 @@ stays short and a lost executor costs a reread.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls
-from ..sources.store import shared_dir
+from ..sources.store import scratch_path
 from .outcomes import failure_column
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/crawlframe/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import html, http, numbers, urls
 from ..operators import closure, jobs, metrics, outcomes, protocol, stats
 from ..sources import graphs, snapshot
-from ..sources.store import shared_dir
+from ..sources.store import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -415,13 +415,11 @@ def owned_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intake that never forgets: first (user, type) of a stream of event files, run to its present end."""
-    from uuid import uuid4
-
     from ..streaming.intake import distinct_bases
 
     schema = _t(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
-    place = f"{shared_dir(spark)}/crawlframe/stream-{uuid4().hex}"
+    place = scratch_path(spark, "stream")
     first = distinct_bases(stream.select(F.col("user_id").cast("string").alias("namespace"), F.col("event_type").alias("base")))
     run = first.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     run.awaitTermination()

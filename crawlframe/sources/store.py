@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -17,6 +18,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/crawlframe/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def _clean() -> None:
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jsc is None:
+        return
+    try:
+        for path in _scratch:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may be gone already; what stays is scratch data
+        return
+
+
+atexit.register(_clean)
+
+
 class Store:
     """Named tables at a path. ``commit`` writes all tables of a version, then its marker; readers take the last marker."""
 
@@ -35,7 +63,7 @@ class Store:
         """Write ``tables`` as the next version; tables that aren't given carry over. Fails if another writer was first."""
         now = self.version()
         new, token = now + 1, uuid.uuid4().hex
-        given = self.tables(now) | {}
+        given = self.tables(now)
         places = given | {name: f"{self.path}/{token}/{name}" for name in tables}
         for name, df in tables.items():
             df.write.mode("errorifexists").parquet(places[name])

@@ -120,6 +120,8 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["status", "1"], c) == 0 and main(["status", "2"], c) == 1
     assert said == ["job 1  crawled 2  frontier 0  in flight 0  files 2  discovered 2  done", "job 2  crawled 0  frontier 1  in flight 0  files 0  discovered 1  failed (fetch)"]
     said.clear()
+    assert main(["status", "-f", "1"], c) == 0 and main(["status", "2", "-f"], c) == 1 and len(said) == 2 and main(["status", "-f", "9"], c) == 1
+    said.clear()
     assert main(["stats", "1"], c) == 0 and said == ["files: 2   extensions: 2   words: 2\n  html 1\n  png 1"]
     said.clear()
     main(["submit", H + "later/"], c)
