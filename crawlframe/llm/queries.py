@@ -96,5 +96,15 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.w, d.w)::BIGINT
       FROM w q JOIN w d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op9_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(role) + 13 + length(regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\]|/?SYS>>|bos>|eos>|/?start_of_turn>|/?end_of_turn>)', '\1\\\2\3', 'g')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
 """,
 }
