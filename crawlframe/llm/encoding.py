@@ -17,7 +17,7 @@ import numpy as np
 SEP = "\ue000"
 #: Characters of text that are handled at once (few enough for a processor's cache), and entries that a worker keeps; both bound memory.
 SLICE_CHARS = 15_000
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
 CACHED_CHARS = 48
 #: Marks that end words; none of them starts a contraction.
 TAIL = ".,;:!?%$&*#|"
