@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from crawlframe.llm import encoding, mixing, packing, pii, records, rules, simhash, token_counts
+from crawlframe.llm import encoding, minhash, mixing, packing, pii, records, rules, simhash, token_counts
 from crawlframe.llm.common import scratch_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -341,6 +341,57 @@ def test_one_of_each_group_stays(spark, odd):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
 
 
+# ---------------------------------------------------------------- near-duplicates of the pipeline
+
+
+def brute_shingles(text, words=5):
+    parts = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def brute_keep_one(rows, similarity=0.8):
+    sets = [brute_shingles(r.text) for r in rows]
+    group = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= similarity * len(x | y) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for g, r in zip(group, rows, strict=True):
+        key = (r.doc_id is None, r.doc_id or 0)
+        least[g] = min(least.get(g, key), key)
+    return Counter(least.values())
+
+
+def test_pipeline_keeps_one_of_near_copies(spark, odd):
+    import corpus_pipeline as cp
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(900)}" for _ in range(rng.randint(60, 200))]
+        for edits in (0, 1, 2, 3, 5, 9, 14):  # similarities on both sides of 0.8
+            copy = list(words)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    docs = documents(spark, texts, 100).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    docs = docs.unionByName(docs.where("doc_id in (101, 130)").selectExpr("null as doc_id", "text", "lang", "source", "n_chars"))
+    kept = cp.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == brute_keep_one(docs.collect())
+    twice = spark.createDataFrame([(1, texts[0], "en", "s", 1), (2, texts[7], "en", "s", 1), (2, texts[1], "en", "s", 1)], SCHEMA)
+    assert sorted((r.doc_id, r.text) for r in cp.near_duplicates(spark, twice, "").collect()) == sorted([(1, texts[0]), (2, texts[7])])
+    assert cp.near_duplicates(spark, empty(spark), "").count() == 0
+
+
+def test_sets_just_at_the_similarity_are_near(spark):
+    pairs = [(list(range(a)), list(range(b)), a >= 0.8 * b) for a, b in ((8, 8), (4, 5), (7, 9), (8, 10), (12, 15), (11, 15))]
+    rows = spark.createDataFrame(pairs, "x array<long>, y array<long>, want boolean")
+    assert all(r.got == r.want for r in rows.withColumn("got", minhash.similar(rows.x, rows.y, 0.8)).collect())
+
+
 # ---------------------------------------------------------------- 6 quality
 
 
