@@ -139,9 +139,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, *, doc_i
 
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 3, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their group: one document of each group. Rows without an id all stay,
-    since no id can tell them apart; of rows with equal ids one stays."""
-    found = near_duplicates(docs, words, max_bits, doc_id=doc_id, text=text)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__near_duplicate_stay")).distinct()
-    named = docs.join(stay, F.col(doc_id).cast("long") == F.col("__near_duplicate_stay"), "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+    """One row of each group: that with the smallest id, of equal ids that with the smallest hash of its text.
+    Rows without an id are held against each other only: one of each group stays."""
+    row = "__near_duplicate_row"
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias(row), *docs.columns), "rows")
+    found = near_duplicates(rows, words, max_bits, doc_id=row, text=text).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    order = rows.select(F.col(row).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text_of(text)).alias("hash"))
+    first = F.min(F.struct("id", "hash", "row")).alias("first")
+    stay = found.join(order, "row").groupBy("group", F.col("id").isNull()).agg(first).select(F.col("first.row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)

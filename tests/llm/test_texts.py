@@ -341,6 +341,14 @@ def test_one_of_each_group_stays(spark, odd):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
 
 
+def test_repeated_and_null_ids_stay_by_row(spark):
+    one, other, third = ([f"{c}{k}" for k in range(60)] for c in "xyz")
+    rows = [(1, one), (2, one), (2, other), (3, other), (None, third), (None, third)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in rows], SCHEMA)
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect())
+    assert got == Counter([(1, " ".join(one)), (2, " ".join(other)), (None, " ".join(third))])
+
+
 # ---------------------------------------------------------------- near-duplicates of the pipeline
 
 
