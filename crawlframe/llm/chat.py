@@ -8,9 +8,10 @@ once more with a probe in place of the text. The loss mask covers the texts of t
 Rewriting templates are reported (``rewrites``) with the first turn at which history changed; spans are then
 empty, since no turn keeps its place.
 
-Beyond LONG_TURNS turns, rendering every prefix would take time with the square of the turns: there, each
-turn is rendered after the first turn and the one before it only, and the pieces, put together, must equal the
-rendering of the whole conversation, else all prefixes are rendered after all.
+Rendering every prefix takes time with the square of the turns. Only a template that declares that it puts
+turns together one by one (its attribute ``by_turn``), as the query's does, is spared that beyond LONG_TURNS
+turns: there, each turn is rendered after the first turn and the one before it only, and the pieces, put
+together, must equal the rendering of the whole conversation, else all prefixes are rendered after all.
 
 Defined cases: null texts and roles are empty; rows are ordered by turn, then role, then text, null turns
 first; repeated rows are turns of their own; a null conv_id is one conversation; an empty table gives no rows;
@@ -65,6 +66,9 @@ def marked(turns: Turns) -> str:
     return "".join(f"<|{_role_name(role)}|>\n{escape(text)}<|end|>\n" for role, text in turns)
 
 
+marked.by_turn = True
+
+
 def read_marked(formatted: str) -> Turns:
     """The turns of a string that :func:`marked` made."""
     out = []
@@ -96,7 +100,7 @@ def _text_span(render: Template, before: Turns, turn: tuple[str, str], base: str
 
 
 def render_incrementally(turns: Turns, render: Template) -> Rendered:
-    if len(turns) > LONG_TURNS and (found := _render_long(turns, render)):
+    if len(turns) > LONG_TURNS and getattr(render, "by_turn", False) and (found := _render_long(turns, render)):
         return found
     spans, texts, last = [], [], render([])
     for k, turn in enumerate(turns):

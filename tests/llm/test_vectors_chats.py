@@ -178,3 +178,10 @@ def test_templates_that_rewrite_history_are_found(monkeypatch, long):
     assert chat.render_incrementally(turns, only_last).rewrites == 1
     assert chat.render_incrementally(turns, closing).rewrites == 0
     assert chat.render_incrementally(turns, upper).formatted == "ONETWOTHREE"
+
+
+def test_long_conversations_show_a_rewrite_at_a_middle_prefix():
+    plain = lambda turns: "".join(f"{r}:{t};" for r, t in turns)
+    middle = lambda turns: plain(turns).upper() if len(turns) == 70 else plain(turns)
+    turns = [("user", f"text {k}") for k in range(chat.LONG_TURNS + 20)]
+    assert chat.render_incrementally(turns, middle).rewrites == 69 and chat.render_incrementally(turns, plain).rewrites == -1
