@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import format_chats, read_back
 from .common import table
 from .ivfpq import neighbours
-from .mixing import mix
+from .mixing import PART_RATE, TERMS, mix
 from .packing import pack
 from .pii import find_pii
 from .records import encode_and_read_back
@@ -72,18 +72,19 @@ _SHARES = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in WEIGHTS.items())
 ORACLE_SQL = {
     "op1_poisson_mixing": f"""
 WITH given(source, share) AS (VALUES {_SHARES}),
-d AS (SELECT documents.*, given.source AS cls, strlen(coalesce(text, '')) + 1 AS size,
+d AS (SELECT documents.*, row_number() OVER () AS row, given.source AS cls, strlen(coalesce(text, '')) + 1 AS size,
              coalesce(CAST(doc_id AS VARCHAR), 't' || coalesce(text, '')) AS id_key
       FROM documents LEFT JOIN given ON documents.source = given.source),
 sized AS (SELECT cls, sum(size)::BIGINT AS size, coalesce(any_value(share), {REST!r}) AS share
           FROM d LEFT JOIN given ON d.cls = given.source GROUP BY cls),
 rated AS (SELECT cls, {EPOCHS!r}::DOUBLE * (SELECT sum(size) FROM sized)::DOUBLE * share / (SELECT sum(share) FROM sized) / size AS rate FROM sized),
-cdf AS (SELECT cls, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY cls ORDER BY k) AS below
-        FROM rated, (SELECT unnest(range(0, 160))::DOUBLE AS k)),
-counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.id_key,
-                   (SELECT count(*) FROM cdf WHERE cdf.cls IS NOT DISTINCT FROM d.cls
-                      AND below <= (('0x' || substr(md5('{SEED}:' || d.id_key), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) AS n
-            FROM d)
+parted AS (SELECT cls, greatest(1, ceil(rate / {PART_RATE}))::BIGINT AS parts, rate / greatest(1, ceil(rate / {PART_RATE})) AS mean FROM rated),
+cdf AS (SELECT cls, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY cls ORDER BY k) AS below
+        FROM parted, (SELECT unnest(range(0, {TERMS + 1}))::DOUBLE AS k)),
+drawn AS (SELECT row, cls, (('0x' || substr(md5('{SEED}:' || id_key || CASE WHEN part > 1 THEN ':' || part ELSE '' END), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+          FROM (SELECT d.row, d.cls, d.id_key, unnest(range(1, parts + 1)) AS part FROM d JOIN parted ON d.cls IS NOT DISTINCT FROM parted.cls)),
+sums AS (SELECT row, sum((SELECT count(*) FROM cdf WHERE cdf.cls IS NOT DISTINCT FROM drawn.cls AND below <= u)) AS n FROM drawn GROUP BY row),
+counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.id_key, sums.n::BIGINT AS n FROM d JOIN sums ON d.row = sums.row)
 SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,
        ('0x' || substr(md5('{SEED + 1}:' || id_key || ':' || copy), 1, 13))::BIGINT AS shuffle_key
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM counted WHERE n > 0)

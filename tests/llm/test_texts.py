@@ -87,12 +87,16 @@ def brute_mix(rows, weights, rest, epochs, seed):
         c = cls(r)
         rate = epochs * sum(size.values()) * share[c] / sum(share.values()) / size[c] if sum(share.values()) else 0
         key = str(r.doc_id) if r.doc_id is not None else "t" + (r.text or "")
-        u = (unit(f"{seed}:{key}") + 0.5) / 16**13
-        n, below = 0, math.exp(-rate)
-        while rate and below <= u:
-            n += 1
-            assert n < 10_000
-            below += math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
+        parts = max(1, math.ceil(rate / 64))
+        n = 0
+        for part in range(1, parts + 1):
+            u = (unit(f"{seed}:{key}" + (f":{part}" if part > 1 else "")) + 0.5) / 16**13
+            k, below = 0, math.exp(-rate / parts)
+            while rate and below <= u:
+                k += 1
+                assert k < 10_000
+                below += math.exp(k * math.log(rate / parts) - rate / parts - math.lgamma(k + 1))
+            n += k
         out += [(r.doc_id, r.text, k, unit(f"{seed + 1}:{key}:{k}")) for k in range(1, n + 1)]
     return out
 
@@ -115,6 +119,18 @@ def test_mixing_reaches_its_shares(spark):
     assert all(abs(size[c] / sum(size.values()) - s) < 0.03 for c, s in (("big", 0.1), ("s1", 0.6), (None, 0.3)))
 
 
+def test_mixing_at_high_rates(spark):
+    rows = [(k, "x" * 2000, "en", "big", 2000) for k in range(400)] + [(1000, "", "en", "tiny", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(docs, {"tiny": 0.5}, 0.5, 1.0, 3).select("doc_id", "text", "copy", "shuffle_key")  # a rate of 400,200.5
+    want = brute_mix(docs.collect(), {"tiny": 0.5}, 0.5, 1.0, 3)
+    assert abs(sum(w[0] == 1000 for w in want) - 400_200) < 5 * 633
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    one = spark.createDataFrame([(1, "", "en", "tiny", 0)], SCHEMA)
+    with pytest.raises(Exception, match="a repetition rate above"):
+        mixing.mix(one, {"tiny": 1.0}, epochs=1e9).count()
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix(empty(spark), {"a": 1.0}).count() == 0
     with pytest.raises(ValueError):
@@ -394,6 +410,21 @@ def test_pipeline_keeps_one_of_near_copies(spark, odd):
     assert cp.near_duplicates(spark, empty(spark), "").count() == 0
 
 
+def test_one_large_group_with_neighbours_just_under_the_similarity(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(110)]
+    texts = []
+    for k in range(120):  # edits meet at few places and words, so that some pairs share them
+        copy = list(base)
+        for place in rng.sample(range(0, 110, 6), k % 7):
+            copy[place] = f"e{rng.randrange(6)}"
+        texts.append(" ".join(copy))
+    docs = documents(spark, texts)
+    kept = Counter((False, r.doc_id) for r in minhash.keep_one(docs).collect())
+    assert kept == brute_keep_one(docs.collect())
+    assert 1 < len(kept) < 100
+
+
 def test_sets_just_at_the_similarity_are_near(spark):
     pairs = [(list(range(a)), list(range(b)), a >= 0.8 * b) for a, b in ((8, 8), (4, 5), (7, 9), (8, 10), (12, 15), (11, 15))]
     rows = spark.createDataFrame(pairs, "x array<long>, y array<long>, want boolean")
