@@ -70,8 +70,27 @@ def test_pruning_skips_blocks_and_loses_nothing():
 def test_large_weights_stay_exact():
     q = np.array([[2**28 + 1, 3]])
     assert topk.dot(q, q)[0, 0] == (2**28 + 1) ** 2 + 9
-    with pytest.raises(OverflowError):
-        topk.dot(np.array([[2**40]]), np.array([[2**40]]))
+    most = np.iinfo(np.int64).max
+    got = topk.dot(np.array([[2**40], [3]]), np.array([[2**40], [-(2**40)], [5]]))  # beyond a long, its ends
+    assert got.tolist() == [[most, -most, 5 * 2**40], [3 * 2**40, -3 * 2**40, 15]]
+
+
+def test_units_are_pruned_before_they_are_fetched(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + rng.normal(size=(150, 8)) for c in rng.normal(size=(20, 8)) * 40])
+    df = spark.createDataFrame([(k, [float(v) for v in r], 0) for k, r in enumerate(x)], VECTORS).coalesce(1)
+    assert 0 < topk.scored_share(df, 10, 5) < 0.5
+    rows = [(k, np.floor(256 * v)) for k, v in usable(df, True)]
+    want = {(q, r + 1, k) for q, y in rows[::10] for r, (_, k) in enumerate(sorted((-int(product(y, z)), k) for k, z in rows if k != q)[:5])}
+    assert {(r.query_id, r.rank, r.vec_id) for r in topk.top_k(df, 10, 5).collect()} == want
+
+
+def test_components_of_any_size_have_a_rank(spark):
+    rows = [(0, [1e8] * 4, 0), (1, [3e38] * 4, 0), (2, [-1e30] * 4, 0), (3, [1.0] * 4, 0), (4, [1e8] * 4, 0), (5, [2e8] * 4, 0)]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, VECTORS), 3, 5).collect()]
+    most = np.iinfo(np.int64).max
+    assert [g[2:] for g in sorted(got) if g[0] == 0] == [(1, most), (4, most), (5, most), (3, 4 * 256 * 25_600_000_000), (2, -most)]
+    assert [g[2] for g in sorted(got) if g[0] == 3] == [1, 5, 0, 4, 2]
 
 
 def test_search_agrees_with_sql(spark, tmp_path):
