@@ -126,11 +126,35 @@ def test_neighbours_reach_their_recall(spark, n):
     assert hit / total >= 0.9
 
 
-def test_a_list_larger_than_a_chunk_is_split(spark, monkeypatch):
-    df = spark.range(300).selectExpr("id as vec_id", "array(1.0f, cast(id % 2 as float)) as embedding")
-    monkeypatch.setattr(ivfpq, "CHUNK_ROWS", 50)
-    got = ivfpq.neighbours(df, 100, 20).where("query_id = 0").orderBy("rank").collect()
-    assert [r.vec_id for r in got] == list(range(1, 21))
+def test_a_list_larger_than_a_unit_is_split(spark):
+    df = spark.range(20_000).selectExpr("id as vec_id", "array(1.0f, cast(id % 2 as float)) as embedding")
+    got = ivfpq.neighbours(df, 5000, 20).orderBy("query_id", "rank").collect()
+    for q in range(0, 20_000, 5000):  # ties over all units go to the smallest ids
+        assert [r.vec_id for r in got if r.query_id == q] == [k for k in range(21) if k != q][:20]
+
+
+def test_the_share_of_rows_that_a_recall_takes():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + rng.normal(size=(60, 6)) for c in rng.normal(size=(10, 6)) * 30])
+    x = x[rng.permutation(len(x))]
+    model = ivfpq.fit(x, 30, 3)
+    share = ivfpq.share_for(model, x, 10, 0.95, queries=600)
+    assert 0 < share < 0.35  # clusters of a tenth of the rows
+    own = ivfpq.nearest(x, model.centroids)
+    order = np.argsort(-ivfpq.toward(model, x), axis=1, kind="stable")
+    hit = total = 0
+    for i in range(len(x)):
+        s = x @ x[i]
+        s[i] = -np.inf
+        seen, lists = 0, set()
+        for c in order[i]:
+            if seen >= share * len(x):
+                break
+            lists.add(c)
+            seen += (own == c).sum()
+        near = np.argsort(-s)[:10]
+        hit, total = hit + sum(own[j] in lists for j in near), total + 10
+    assert hit / total >= 0.95
 
 
 def test_searches_of_nothing(spark):
