@@ -11,10 +11,13 @@ A record is::
 masked(c) = rotate right by 15 bits, plus 0xA282EAD8, as checksums of data that hold checksums are masked.
 Files go through Spark's own text writer: each row is one framed record and its line end the last byte, so
 files are committed once per task on whatever store holds the shared folder. Files are in the order of
-(id, text hash, text); their number follows the size of the texts, so that one file fits a task.
+(id, text hash, text); their number follows the size of the texts, so that one file fits a task. Each task
+writes its part of the index in the same commit: a file of the same name below ``kind=index``, with a line for
+each record (id, offset, length and number of ids, by tabs), which shuffled reads seek by.
 
 Defined cases: a null text is an empty text; null ids come first; rows with equal ids are all kept, in the
-order of text hash and text; an empty table gives an empty folder and an empty index.
+order of text hash and text, equal rows in one file, whose size must stay under 2 GB; an empty table gives an
+empty folder and an empty index.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,13 +78,25 @@ def record_at(data: memoryview, at: int) -> tuple[int | None, np.ndarray, int]:
 
 
 def _frames(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's records in order, and then the lines of its index."""
     enc, last = encoder(path), _CRC.pack(end_id)  # an id is 4 bytes as well
+    lines, at = [], 0
+
+    def rows(kind: str, values: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(values)), pa.array(values, pa.binary())], ["kind", "frame"])
+
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
-            ids = enc.encode(part.column(1).to_pylist())
-            framed = [frame(d, np.frombuffer(x + last, dtype="<u4")) for d, x in zip(part.column(0).to_pylist(), ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["frame"])
+            framed = []
+            for d, x in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
+                framed.append(frame(d, np.frombuffer(x + last, dtype="<u4")))
+                size = len(framed[-1]) + 1  # with the line end
+                lines.append(b"%b\t%d\t%d\t%d" % (b"" if d is None else b"%d" % d, at, size, len(x) // 4 + 1))
+                at += size
+            yield rows("records", framed)
+    for k in range(0, len(lines), 10_000):
+        yield rows("index", lines[k : k + 10_000])
 
 
 def _estimated_bytes(docs: DataFrame) -> int:
@@ -90,8 +107,20 @@ def _estimated_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
 
 
+@contextmanager
+def _in_order(spark: SparkSession) -> Iterator[None]:
+    """Both files of a task stay open, so that its rows are written as they come instead of being sorted."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, *, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Encode every whole text, append ``end_id``, and write the records below ``path`` in ascending id order."""
+    """Encode every whole text, append ``end_id``, and write records in ascending id order, and their index, below ``path``."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     size = _estimated_bytes(docs)
     n = max(shuffle_partitions(docs.sparkSession), -(-size // FILE_BYTES))
@@ -101,10 +130,19 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, *
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
         .select("doc_id", "text")
     )
-    ordered.mapInArrow(partial(_frames, tokenizer, end_id), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    framed = ordered.mapInArrow(partial(_frames, tokenizer, end_id), "kind string, frame binary").select("kind", F.col("frame").cast("string").alias("value"))
+    with _in_order(docs.sparkSession):  # one file of a kind a task, as it is: places are offsets into it
+        framed.write.partitionBy("kind").option("lineSep", "\n").option("maxRecordsPerFile", 0).option("compression", "none").text(path)
+
 
+def _folder(spark: SparkSession, path: str, kind: str) -> str | None:
+    """The files of a kind; None if there are none, since no task had rows."""
+    jvm, place = spark.sparkContext._jvm, f"{path.rstrip('/')}/kind={kind}"
+    at = jvm.org.apache.hadoop.fs.Path(place)
+    return place if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["file", "part", "doc_id", "offset", "length", "local_start", "n_tokens", "ids_crc32"]
     kinds = [pa.string(), pa.int32(), *[pa.int64()] * 6]
     for batch in batches:
@@ -122,52 +160,75 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows = []
 
 
-_INDEX = "file string, part int, doc_id long, offset long, length long, local_start long, n_tokens long, ids_crc32 long"
+_SCAN = "file string, part int, doc_id long, offset long, length long, local_start long, n_tokens long, ids_crc32 long"
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Read the files back, check every length and checksum, and return a row for each record with its place."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
-    return files.select("path", "content").mapInArrow(_index, _INDEX)
+    place = _folder(spark, path, "records")
+    if place is None:
+        return spark.createDataFrame([], _SCAN)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(place)
+    return files.select("path", "content").mapInArrow(_scan, _SCAN)
 
 
-def with_starts(index: DataFrame) -> DataFrame:
-    """Add ``start``: the ids of all records before, over all files. One row a file meets in one task."""
-    files = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = files.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    return index.join(before, "part").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(file, part, doc_id, offset, length, n_tokens) as the index says; no record is read."""
+    place = _folder(spark, path, "index")
+    if place is None:
+        return spark.createDataFrame([], "file string, part int, doc_id long, offset long, length long, n_tokens long")
+    lines = spark.read.schema("doc_id long, offset long, length long, n_tokens long").csv(place, sep="\t")
+    file = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    return lines.select(file.alias("file"), F.split(file, "-")[1].cast("int").alias("part"), "doc_id", "offset", "length", "n_tokens")
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.binary()]
-    for batch in batches:
-        for k in range(batch.num_rows):
-            data = memoryview(batch.column(0)[k].as_buffer())
-            rows = [(w["rank"], *record_at(data, w["offset"])[:2]) for w in batch.column(1)[k].as_py()]
-            cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2].tobytes() for r in rows]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["rank", "doc_id", "ids"])
+def with_starts(places: DataFrame) -> DataFrame:
+    """Add ``start``: the ids of all records before, over all files. One row a file meets in one task."""
+    files = places.groupBy("part", "file").agg(F.sum("n_tokens").alias("n"))
+    before = files.select("file", (F.sum("n").over(Window.orderBy("part", "file")) - F.col("n")).alias("base"))
+    return places.join(before, "file").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
 
 
-def read_shuffled(spark: SparkSession, path: str, index: DataFrame, seed: int) -> DataFrame:
+def _seek(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fs, root = pafs.FileSystem.from_uri(folder)
+    opened: dict[str, pa.NativeFile] = {}
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            rows = []
+            for file, offset, length in zip(*(c.to_pylist() for c in batch.slice(k, 500).columns), strict=True):
+                if file not in opened:
+                    if len(opened) >= 64:
+                        opened.pop(next(iter(opened))).close()
+                    opened[file] = fs.open_input_file(f"{root}/{file}")
+                data = opened[file].read_at(length, offset)
+                found, ids, after = record_at(memoryview(data), 0)
+                if after != length:
+                    raise CorruptRecord(f"{file} at byte {offset}: not the length that the index gives")
+                rows.append((found, ids.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "ids"])
+
+
+def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
     """(doc_id, ids binary) of all records, in a random order given by ``seed`` alone.
 
-    The index gives each file its records' places and ranks; a task holds one file at a time, and a last
-    sort by rank inside hashed partitions puts records of different files beside each other.
+    Only the index is shuffled; each task then seeks its records in the order of their ranks, through the file
+    system library of Arrow (local, HDFS and object stores), and holds one at a time.
     """
-    n = shuffle_partitions(spark)
-    rank = F.xxhash64(F.lit(seed), F.col("file"), F.col("offset"))
-    wanted = index.groupBy("file").agg(F.collect_list(F.struct("offset", "length", rank.alias("rank"))).alias("wanted"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-
-    found = files.join(wanted, "file").select("content", "wanted").mapInArrow(_fetch, "rank long, doc_id long, ids binary")
-    return found.repartition(n, "rank").sortWithinPartitions("rank").select("doc_id", "ids")
+    place = _folder(spark, path, "records")
+    if place is None:
+        return spark.createDataFrame([], "doc_id long, ids binary")
+    index = read_index(spark, path).withColumn("rank", F.xxhash64(F.lit(seed), F.col("part"), F.col("offset")))
+    dealt = index.repartition(shuffle_partitions(spark), "rank").sortWithinPartitions("rank").select("file", "offset", "length")
+    uri = place.replace("file:///", "/").replace("file:/", "/")
+    return dealt.mapInArrow(partial(_seek, f"file://{uri}" if uri.startswith("/") else uri), "doc_id long, ids binary")
 
 
 def encode_and_read_back(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None) -> DataFrame:
-    """Write the records and their index, and return the index with ``start``."""
+    """Write the records and their index, read all records back, and return their places with ``start``.
+
+    ``path``: where they stay; without one they are removed when the driver ends.
+    """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "records")
     write_records(docs, path, tokenizer, end_id)
-    return with_starts(materialize(read_index(spark, path), "offset-index"))
-
+    return with_starts(materialize(read_records(spark, path), "places"))

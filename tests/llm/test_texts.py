@@ -225,13 +225,26 @@ def test_records_round_trip(spark, odd):
         at += n
     order = [d for d, *_ in sorted(got, key=lambda r: r[1])]
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
-    index = records.read_index(spark, path)
-    one, two = (records.read_shuffled(spark, path, index, s).collect() for s in (1, 2))
+    place = lambda df: sorted((r.file, r.offset, r.length, r.n_tokens, str(r.doc_id)) for r in df.collect())
+    assert place(records.read_index(spark, path)) == place(records.read_records(spark, path))
+    one, two = (records.read_shuffled(spark, path, s).collect() for s in (1, 2))
     assert Counter((r.doc_id, bytes(r.ids)) for r in one) == Counter((d, x.tobytes()) for d, x in rows) and [r.doc_id for r in one] != [r.doc_id for r in two]
 
 
-def test_records_of_nothing(spark):
-    assert records.encode_and_read_back(empty(spark), WORD).count() == 0
+def test_records_of_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/none"
+    assert records.encode_and_read_back(empty(spark), WORD, path=path).count() == 0
+    assert records.read_index(spark, path).count() == 0 and records.read_shuffled(spark, path, 1).count() == 0
+
+
+def test_the_writer_s_settings_do_not_move_records(spark, odd):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 1)
+    try:
+        got = sorted((r.start, r.n_tokens) for r in records.encode_and_read_back(odd, WORD).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert [s for s, _ in got] == [sum(n for _, n in got[:k]) for k in range(len(got))]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
 
 
 def test_damage_is_found():
