@@ -324,10 +324,14 @@ def references(name: str, ns: str, attrs: dict) -> list[str]:
     return out
 
 
-def extract(page: str, source: str) -> tuple[list[str], int]:
+class WordCountOverflow(OverflowError):
+    """A page has more words than the count can hold."""
+
+
+def extract(page: str, source: str, most: int = (1 << 63) - 1) -> tuple[list[str], int]:
     """(canonical links in document order without repeats, words) of a decoded document at a canonical URL.
 
-    Links of any scope are returned; the scope filter is a relational step.
+    Links of any scope are returned; the scope filter is a relational step. More than ``most`` words are an error.
     """
     made, here = _build(source), urls.parse(page)
     first = next((a["href"] for n, ns, a, inert in made.elements if n == "base" and not inert and "href" in a), None)
@@ -339,4 +343,7 @@ def extract(page: str, source: str) -> tuple[list[str], int]:
             base = here
     found = (urls.resolve(base, r) for n, ns, a, _ in made.elements for r in references(n, ns, a))
     links = list(dict.fromkeys(x for x in found if x is not None))
-    return links, sum(count_words("".join(t)) for t, excluded in made.texts if not excluded)
+    words = sum(count_words("".join(t)) for t, excluded in made.texts if not excluded)
+    if words > most:
+        raise WordCountOverflow
+    return links, words

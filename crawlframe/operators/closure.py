@@ -2,14 +2,13 @@
 
 Semi-naive: only the newest level is joined with the outcomes; its links, filtered by scope and made
 distinct, lose those already seen by an anti-join. Every level is written to the shared folder, so lineage
-stays short and a lost executor costs a reread.
+stays short and a lost executor costs a reread. Small crawls and large ones go the same way.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import urls
 from ..sources.store import scratch_path
@@ -40,9 +39,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_levels: int | None = None) ->
 
 VISITS = "job_id long, url string, level int, parent string, pos int, outcome string, words long, ext string, error string, error_status int, done boolean"
 _VISIT_COLUMNS = [f.split()[0] for f in VISITS.split(", ")]
-#: A crawl whose jobs and links multiply to no more than this is walked in one place: rounds of jobs would cost more than the work.
-SMALL_VISITS = 100_000
-SMALL_ROWS = 20_000
+_ROUND = "job_id long, base string, url string, level int, parent string, pos int, path array<int>, outcome string, words long, ext string, links array<string>, error string, error_status int"
 
 
 def _walk(jobs: list[tuple[int, str]], table: dict[str, dict]) -> tuple[list[tuple], list[tuple]]:
@@ -66,55 +63,58 @@ def _walk(jobs: list[tuple[int, str]], table: dict[str, dict]) -> tuple[list[tup
     return visits, ends
 
 
-def crawl(jobs: DataFrame, outcomes: DataFrame, small: bool = True) -> tuple[DataFrame, DataFrame]:
+def crawl(jobs: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(visits, states) of jobs (job_id, base), over outcomes as ``classify`` makes them, one a URL.
 
     visits: job_id, url, level, parent, pos, outcome, words, ext, error, error_status, done. A URL without an
-    outcome is absent: processed, no file. If a level of a job holds an error, levels before it are published,
-    that level stays as the frontier, and the first failing URL in breadth-first order names the failure.
-    states: job_id, base, state (done or failed), failure. ``small``: whether a crawl under the two limits
-    above, which are checked first, may be walked in one place; the result is the same.
+    outcome is absent: processed, no file. A URL outside its job's scope, which only a base that isn't
+    canonical can be, is an error. If a level of a job holds an error, levels before it are published, that
+    level stays as the frontier, and the first failing URL in breadth-first order names the failure.
+    states: job_id, base, state (done or failed), failure.
+
+    A round writes one level of all jobs, with outcomes and links, and counts it; that is all that goes to the
+    driver. Breadth-first order is the order of ``path``, the places of the links that led to a URL: within a
+    level paths have one length, so no task has to number a level.
     """
     spark = jobs.sparkSession
     outcomes = _written(outcomes.dropDuplicates(["url"]), "outcomes")
-    if small:
-        size = outcomes.agg(F.count("*").alias("rows"), F.sum(F.size("links") + 1).alias("links")).first()
-        some = jobs.select("job_id", "base").limit(SMALL_ROWS + 1).collect() if size["rows"] <= SMALL_ROWS else []
-        if size["rows"] <= SMALL_ROWS and len(some) * (size["links"] or 1) <= SMALL_VISITS:
-            table = {r["url"]: r.asDict() for r in outcomes.collect()}
-            visits, ends = _walk([(r["job_id"], r["base"]) for r in some], table)
-            ended = spark.createDataFrame(ends, "job_id long, base string, error string")
-            return spark.createDataFrame(visits, VISITS), _states(ended)
+    root = scratch_path(spark, "rounds")
+    written = lambda: spark.read.schema(_ROUND).parquet(root)
+    none = F.lit(None).cast("string")
     known = jobs.select("job_id", "base")
-    frontier = known.select("job_id", F.col("base").alias("url"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("rank"))
-    levels: list[DataFrame] = []
-    failed: DataFrame | None = None
+    new = known.select("job_id", "base", F.col("base").alias("url"), none.alias("parent"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("path"))
     level = 0
-    seen: DataFrame | None = None
     while True:
-        hit = frontier.join(outcomes, "url", "left").withColumn("outcome", F.when(F.col("outcome").isNull() & F.col("error").isNull(), "no-file").otherwise(F.col("outcome")))
-        bad = hit.where("error is not null").groupBy("job_id").agg(F.min_by("error", "rank").alias("why"))
-        hit = hit.join(bad, "job_id", "left").withColumn("done", F.col("why").isNull())
-        hit = _written(hit, "visits")
-        levels.append(hit.select(*_VISIT_COLUMNS))
-        stopped = hit.where("not done").select("job_id", F.col("why").alias("error")).distinct()
-        failed = stopped if failed is None else failed.unionByName(stopped)
-        seen = hit.select("job_id", "url") if seen is None else seen.unionByName(hit.select("job_id", "url"))
-        if level % 16 == 15:
-            seen = _written(seen, "seen")
-        level += 1
-        links = hit.where("done").select("job_id", F.col("url").alias("parent"), "rank", F.posexplode("links").alias("pos", "child"))
-        inside = links.join(known, "job_id").where(urls.in_scope_column(F.col("child"), F.col("base")))
-        first = inside.groupBy("job_id", F.col("child").alias("url")).agg(F.min(F.struct("rank", "pos", "parent")).alias("f"))
-        new = first.join(seen, ["job_id", "url"], "left_anti")
-        ranked = new.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy("f.rank", "f.pos")).cast("long"))
-        frontier = _written(ranked.select("job_id", "url", F.lit(level).alias("level"), F.col("f.parent").alias("parent"), F.col("f.pos").alias("pos"), "rank"), "frontier")
-        if frontier.isEmpty():
+        hit = new.join(outcomes, "url", "left").withColumn("level", F.lit(level))
+        inside = urls.in_scope_column(F.col("url"), F.col("base"))
+        hit = hit.withColumn("error", F.when(~inside, "PageOutsideScope").otherwise(F.col("error")))
+        hit = hit.withColumn("outcome", F.when(F.col("error").isNull(), F.coalesce("outcome", F.lit("no-file"))))
+        hit.select(*[f.split()[0] for f in _ROUND.split(", ")]).write.mode("append").parquet(root)
+        hit = written().where(F.col("level") == level)
+        size = hit.agg(F.count("*").alias("rows"), F.count("error").alias("errors")).first()
+        if not size["rows"]:
             break
-    visits = levels[0]
-    for more in levels[1:]:
-        visits = visits.unionByName(more)
-    return visits, _states(known.join(failed, "job_id", "left").select("job_id", "base", "error"))
+        if size["errors"]:
+            hit = hit.join(hit.where("error is not null").select("job_id").distinct(), "job_id", "left_anti")
+        links = hit.select("job_id", "base", F.col("url").alias("parent"), "path", F.posexplode("links").alias("pos", "child"))
+        inside = links.where(urls.in_scope_column(F.col("child"), F.col("base")))
+        first = inside.groupBy("job_id", "base", F.col("child").alias("url")).agg(F.min(F.struct("path", "pos", "parent")).alias("f"))
+        new = first.join(written().select("job_id", "url"), ["job_id", "url"], "left_anti")
+        new = new.select("job_id", "base", "url", F.col("f.parent").alias("parent"), F.col("f.pos").alias("pos"), F.concat("f.path", F.array("f.pos")).alias("path"))
+        level += 1
+    visits = written()
+    ends = visits.where("error is not null").groupBy("job_id").agg(F.min_by("error", F.struct("level", "path")).alias("why"), F.min("level").alias("stop"))
+    ends = _written(ends, "ends")
+    visits = visits.join(ends, "job_id", "left").withColumn("done", F.col("stop").isNull() | (F.col("level") < F.col("stop"))).select(*_VISIT_COLUMNS)
+    return visits, _states(known.join(ends.withColumnRenamed("why", "error"), "job_id", "left").select("job_id", "base", "error"))
+
+
+def crawl_on_driver(jobs: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What :func:`crawl` gives, walked on the driver: for tables that fit there, and to test the other against."""
+    spark = jobs.sparkSession
+    table = {r["url"]: r.asDict() for r in outcomes.dropDuplicates(["url"]).collect()}
+    visits, ends = _walk([(r["job_id"], r["base"]) for r in jobs.select("job_id", "base").collect()], table)
+    return spark.createDataFrame(visits, VISITS), _states(spark.createDataFrame(ends, "job_id long, base string, error string"))
 
 
 def _states(ended: DataFrame) -> DataFrame:

@@ -19,10 +19,14 @@ def _page(url: str, body: bytes | None, content_type: str, gzipped: bool) -> tup
     text, error = http.decode_body(body, content_type, gzipped)
     if error:
         return [], None, error
-    return (*html.extract(url, text), None)
+    try:
+        return (*html.extract(url, text), None)
+    except html.WordCountOverflow:
+        return [], None, "WordCountOverflow"
 
 
-extract_page = F.udf(_page, EXTRACTED, useArrow=True)
+#: Said to be nondeterministic, so that the planner evaluates it once a row, whatever filters stand above it.
+extract_page = F.udf(_page, EXTRACTED, useArrow=True).asNondeterministic()
 
 
 def _redirect(url: str, location: str) -> list[str]:
@@ -30,7 +34,7 @@ def _redirect(url: str, location: str) -> list[str]:
     return [found] if found else []
 
 
-redirect_target = F.udf(_redirect, ArrayType(StringType()), useArrow=True)
+redirect_target = F.udf(_redirect, ArrayType(StringType()), useArrow=True).asNondeterministic()
 
 
 def classify(snapshot: DataFrame) -> DataFrame:
