@@ -1,8 +1,10 @@
-"""Commands over a store: submit, run, jobs, status, stats, abort, check. Exit codes 0, 1 (errors), 2 (usage)."""
+"""Commands over a store: submit, node, jobs, status, stats, abort, check. Exit codes 0, 1 (errors), 2 (usage)."""
 
 from __future__ import annotations
 
+import signal
 import sys
+import threading
 import time
 from collections.abc import Callable
 
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import closure, jobs, outcomes, stats
+from .sources import live
 from .sources.store import Store
 
 JOBS = "namespace string, job_id long, base string, state string, failure string"
@@ -47,30 +50,68 @@ class Commands:
         """Crawl all running jobs to their ends."""
         mine = self._own().where("state = 'running'").select("job_id", "base")
         visits, states = closure.crawl(mine, outcomes.classify(snapshot))
-        ended = states.select("job_id", F.col("state").alias("new"), F.col("failure").alias("why"))
+        ended = stats.settled(visits, states).select("job_id", F.col("state").alias("new"), F.col("failure").alias("why"))
         now = self._jobs().join(ended, "job_id", "left").select("namespace", "job_id", "base", F.coalesce("new", "state").alias("state"), F.coalesce("why", "failure").alias("failure"))
         kept = self.store.read("visits")
         visits = visits.select("job_id", "url", "level", "parent", "pos", "outcome", "words", "ext", "error", "done")
         self.store.commit(jobs=now, visits=visits if kept is None else kept.unionByName(visits))
         return 0
 
-    def _progress(self) -> DataFrame:
+    def node(self, timeout: float = 30.0, pause: float = 0.1, polls: int | None = None) -> int:
+        """Crawl live what is submitted, until interrupted (or for ``polls`` looks). An interrupt ends the wait, never
+        a crawl: what has begun is finished and written first. Each level's responses are written before they are
+        read, and a task fetches up to live.PERMITS URLs at once, which bounds what it owns."""
+        stopped: list[int] = []
+        before = signal.signal(signal.SIGINT, lambda *_: stopped.append(1)) if threading.current_thread() is threading.main_thread() else None
+        try:
+            while not stopped and polls != 0:
+                polls = polls if polls is None else polls - 1
+                mine = self._own().where("state = 'running'").select("job_id", "base")
+                if not mine.isEmpty():
+                    self.run(live.crawled(self.spark, mine, timeout))
+                elif polls != 0:
+                    time.sleep(pause)
+        finally:
+            if before is not None:
+                signal.signal(signal.SIGINT, before)
+        return 0
+
+    def _visits(self) -> DataFrame:
+        """Stored visits of this namespace's jobs; a submitted job that wasn't run yet has its base to visit."""
         visits = self.store.read("visits")
         seeds = self._own().select("job_id", F.col("base").alias("url"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("outcome"))
         if visits is not None:
-            seeds = visits.select("job_id", "url", "done", "outcome").unionByName(seeds.join(visits.select("job_id").distinct(), "job_id", "left_anti"))
-        return jobs.progress(self._own(), seeds)
+            mine = visits.join(self._own().select("job_id"), "job_id", "left_semi").select("job_id", "url", "done", "outcome")
+            seeds = mine.unionByName(seeds.join(visits.select("job_id").distinct(), "job_id", "left_anti"))
+        return seeds
+
+    def _progress(self) -> DataFrame:
+        return jobs.progress(self._own(), self._visits())
+
+    def _broken(self, job_id: int | None = None) -> int | None:
+        """The smallest id (or ``job_id``, if it is one) of a job whose stored rows break a rule."""
+        found = jobs.preflight(self._own(), self._visits())
+        found = found if job_id is None else found.where(F.col("job_id") == job_id)
+        return found.agg(F.min("job_id").alias("first")).first()["first"]
+
+    def _whole(self, job_id: int) -> None:
+        if self._broken(job_id) is not None:
+            raise LookupError(f"InvalidStorage: job {job_id}")
 
     def jobs(self) -> int:
-        rows = jobs.progress_text(self._progress()).orderBy("job_id").toLocalIterator()
+        broken = self._broken()
+        rows = jobs.progress_text(self._progress()).where("true" if broken is None else f"job_id < {broken}").orderBy("job_id").toLocalIterator()
         shown = 0
         for shown, row in enumerate(rows, 1):  # noqa: B007
             self.out(row["line"])
+        if broken is not None:
+            raise LookupError(f"InvalidStorage: job {broken}")
         if not shown:
             self.out("No jobs in this database/namespace.")
         return 0
 
     def status(self, job_id: int) -> int:
+        self._whole(job_id)
         row = self._progress().where(F.col("job_id") == job_id)
         found = jobs.progress_text(row).first()
         if found is None:
@@ -100,6 +141,7 @@ class Commands:
         answer = jobs.readable(self.spark.createDataFrame([(job_id,)], "job_id long"), self._own()).first()["answer"]
         if answer != "ok":
             raise LookupError(answer)
+        self._whole(job_id)
         mine = self._own().where(F.col("job_id") == job_id)
         for row in stats.stats_text(stats.job_stats(self.store.read("visits"), mine)).collect():  # one job
             self.out(row["line"])
@@ -141,10 +183,12 @@ def main(argv: list[str], commands: Commands) -> int:
                 return commands.abort(_job(number))
             case ["check"]:
                 return commands.check()
+            case ["node"]:
+                return commands.node()
     except (ValueError, LookupError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
-    print("usage: submit URL... | jobs | status [-f] JOB | stats JOB | abort JOB|--all | check", file=sys.stderr)
+    print("usage: node | submit URL... | jobs | status [-f] JOB | stats JOB | abort JOB|--all | check", file=sys.stderr)
     return 2
 
 

@@ -82,6 +82,24 @@ def progress(jobs: DataFrame, visits: DataFrame) -> DataFrame:
     return kept.select("job_id", "base", "state", "failure", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("discovered", "processed", "frontier", "in_flight", "files")])
 
 
+def preflight(jobs: DataFrame, visits: DataFrame) -> DataFrame:
+    """(job_id, rule) for every rule that a job's stored rows break; nothing may be read from or written to such a job.
+
+    jobs: namespace, job_id, base, state, failure; visits: job_id, url, done, in_flight (optional), outcome, words.
+    """
+    flying = F.col("in_flight") if "in_flight" in visits.columns else F.lit(False)
+    twice = visits.groupBy("job_id", "url").count().groupBy("job_id").agg(F.max("count").alias("times"))
+    mine = progress(jobs, visits.withColumn("in_flight", flying)).join(twice, "job_id", "left")
+    ids = jobs.groupBy("job_id").agg(F.count("*").alias("rows"))
+    legal = "state IN ('running', 'done', 'aborted') AND failure = '' OR state = 'failed' AND failure IN ('fetch', 'statistics', 'protocol')"
+    rules = {
+        "id repeated": "rows > 1", "base": "coalesce(base, '') = ''", "state": f"NOT coalesce({legal}, false)", "URL repeated": "times > 1", "nothing discovered": "discovered = 0",
+        "partition": "discovered <> processed + frontier + in_flight", "done with work": "state = 'done' AND frontier + in_flight > 0", "running without work": "state = 'running' AND frontier + in_flight = 0",
+    }
+    named = F.array_compact(F.array(*[F.when(F.expr(holds), F.lit(rule)) for rule, holds in rules.items()]))
+    return mine.join(ids, "job_id").select("job_id", F.explode(named).alias("rule")).distinct()
+
+
 def progress_text(snapshot: DataFrame) -> DataFrame:
     state = F.when(F.col("state") == "failed", F.concat(F.lit("failed ("), F.col("failure"), F.lit(")"))).otherwise(F.col("state"))
     line = F.format_string("job %d  crawled %d  frontier %d  in flight %d  files %d  discovered %d  %s", "job_id", "processed", "frontier", "in_flight", "files", "discovered", state)

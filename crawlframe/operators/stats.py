@@ -33,6 +33,14 @@ def job_stats(visits: DataFrame, states: DataFrame) -> DataFrame:
     return kept.select("job_id", zero("num_files", "long"), zero("num_exts", "long"), counts, zero("total_word_count", "decimal(38,0)")).where(~overflows(F.col("total_word_count")))
 
 
+def settled(visits: DataFrame, states: DataFrame) -> DataFrame:
+    """``states`` (job_id, base, state, failure), in which a job whose statistics overflow has failed for that."""
+    over = web_stats(visits, "job_id").where("overflow").select("job_id", "overflow")
+    failed = F.coalesce("overflow", F.lit(False)) & (F.col("state") == "done")
+    joined = states.join(over, "job_id", "left")
+    return joined.withColumn("failure", F.when(failed, "statistics").otherwise(F.col("failure"))).withColumn("state", F.when(failed, "failed").otherwise(F.col("state"))).drop("overflow")
+
+
 def merge_counts(a: Column, b: Column) -> Column:
     """Sum of two maps of counts by extension."""
     return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))

@@ -14,9 +14,13 @@ from functools import partial
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.urls import origin_column as in_scope_origin
+from ..operators.outcomes import classify
 from .snapshot import SNAPSHOT
+from .store import scratch_path
 
 PERMITS = 10
 
@@ -58,3 +62,24 @@ def responses(urls: DataFrame, timeout: float = 30.0, ca_file: str | None = None
     if not 1 <= timeout <= 300:
         raise ValueError("timeout must be from 1 to 300 seconds")
     return urls.select("url").distinct().mapInPandas(partial(_fetch_all, timeout, ca_file), SNAPSHOT)
+
+
+def crawled(spark: SparkSession, jobs: DataFrame, timeout: float = 30.0, ca_file: str | None = None) -> DataFrame:
+    """A snapshot of all that ``jobs`` (job_id, base) reach, fetched level by level, each URL once.
+
+    A level's responses are written before they are read; the next level are links in a job's scope that no
+    level has fetched. Nothing outside every job's scope is fetched.
+    """
+    root = scratch_path(spark, "responses")
+    read = lambda: spark.read.schema(SNAPSHOT).parquet(root)
+    new, bases = jobs.select(F.col("base").alias("url")).distinct(), jobs.select("base").distinct()
+    while True:
+        got = scratch_path(spark, "level")
+        responses(new, timeout, ca_file).write.parquet(got)
+        level = spark.read.schema(SNAPSHOT).parquet(got)
+        if level.isEmpty():
+            return read()
+        level.write.mode("append").parquet(root)
+        links = classify(level).select(F.explode("links").alias("url")).distinct()
+        near = links.withColumn("origin", in_scope_origin(F.col("url"))).join(bases.withColumn("origin", in_scope_origin(F.col("base"))), "origin")
+        new = near.where(F.col("url").startswith(F.col("base"))).select("url").distinct().join(read().select("url"), "url", "left_anti")

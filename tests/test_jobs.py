@@ -1,7 +1,7 @@
 import pytest
 
-from crawlframe.cli import Commands, main
-from crawlframe.operators import jobs, metrics, protocol
+from crawlframe.cli import JOBS, Commands, main
+from crawlframe.operators import jobs, metrics, protocol, stats
 from crawlframe.operators.protocol import Machine
 from crawlframe.sources.snapshot import response, snapshot
 from crawlframe.sources.store import Store
@@ -128,3 +128,30 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["abort", "--all"], c) == 0 and main(["abort", "1"], c) == 0 and main(["check"], c) == 0
     assert said == ["job 3  input 1  created", "job 3  aborted", "job 1  unchanged (already terminal)", "Spark connectivity: OK"]
     assert main(["submit", "https://a:secret@h.example/"], c) == 1 and "secret" not in capsys.readouterr().err
+
+
+def test_a_publication_from_another_namespace_isn_t_the_owner_s():
+    m = Machine()
+    m.apply({"kind": "submit", "base": H, "namespace": "a"})
+    m.claim("w")
+    done = {"kind": "complete", "base": H, "url": H, "worker": "w", "outcome": "no-file", "children": None}
+    assert m.apply({**done, "namespace": "b"}) == "ownership" and m.state == "running"
+    assert m.apply({**done, "namespace": "a"}) == "published" and m.state == "done"
+
+
+def test_damaged_jobs_are_named_and_not_printed(spark, tmp_path, capsys):
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = [("default", 1, H, "running", ""), ("default", 2, H + "b", "done", "fetch"), ("default", 3, H + "c", "running", "")]
+    visits = [(1, H, 0, None, 0, None, None, None, None, False)]
+    store.commit(jobs=spark.createDataFrame(rows, JOBS), visits=spark.createDataFrame(visits, "job_id long, url string, level int, parent string, pos int, outcome string, words long, ext string, error string, done boolean"))
+    lines = []
+    commands = Commands(spark, store, out=lines.append)
+    assert main(["jobs"], commands) == 1 and [line.split("  ")[0] for line in lines] == ["job 1"]
+    assert main(["status", "2"], commands) == 1 and "InvalidStorage: job 2" in capsys.readouterr().err
+    assert main(["status", "3"], commands) == 0
+
+
+def test_statistics_beyond_the_bound_fail_the_job(spark):
+    visits = spark.createDataFrame([(1, "a", "file", 2**63 - 1, "html", True), (1, "b", "file", 2**63 - 1, "html", True), (1, "c", "file", 2, "html", True), (2, "a", "file", 5, "html", True)], "job_id long, url string, outcome string, words long, ext string, done boolean")
+    states = spark.createDataFrame([(1, "a", "done", ""), (2, "a", "done", "")], "job_id long, base string, state string, failure string")
+    assert sorted((r.job_id, r.state, r.failure) for r in stats.settled(visits, states).collect()) == [(1, "failed", "statistics"), (2, "done", "")]

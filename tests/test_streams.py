@@ -3,6 +3,7 @@ import threading
 from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from crawlframe.cli import Commands
 from crawlframe.operators import closure, outcomes, stats
 from crawlframe.sources import live
 from crawlframe.sources.store import Store
@@ -40,8 +41,8 @@ def test_machine_state_lives_on_between_batches(spark, tmp_path):
     assert got == [(0, "created", "running", 0), (1, f"claimed {H}", "running", 0), (2, "published", "running", 1), (3, f"claimed {H}a", "running", 1), (4, "aborted", "aborted", 1), (5, "aborted", "aborted", 1)]
 
 
-def test_live_source_gets_each_url_once(spark):
-    seen = Counter()
+def served(seen):
+    """A server of a small site, counting what it is asked for."""
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
@@ -60,6 +61,24 @@ def test_live_source_gets_each_url_once(spark):
 
     server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server
+
+
+def test_a_node_crawls_what_is_submitted_and_fetches_once(spark, tmp_path):
+    seen, lines = Counter(), []
+    server = served(seen)
+    base = f"http://127.0.0.1:{server.server_port}/s/"
+    commands = Commands(spark, Store(spark, f"file://{tmp_path}/store"), out=lines.append)
+    assert commands.submit([base]) == 0 and commands.node(polls=2) == 0
+    server.shutdown()
+    assert seen == {"/s/": 1, "/s/a": 1, "/s/go": 1}
+    lines.clear()
+    assert commands.stats(1) == 0 and lines == ["files: 2   extensions: 1   words: 2\n  html 2"]
+
+
+def test_live_source_gets_each_url_once(spark):
+    seen = Counter()
+    server = served(seen)
     base = f"http://127.0.0.1:{server.server_port}/s/"
     got = live.responses(spark.createDataFrame([(base + p,) for p in ("", "a", "go", "none", "a")], "url string")).persist()
     rows = {r.url.removeprefix(base): (r.status, r.location) for r in got.collect()}
