@@ -33,6 +33,25 @@ def bench_summary(runs: DataFrame, *keys: str, value: str = "elapsed") -> DataFr
     )
 
 
-def report_json(metrics: DataFrame) -> DataFrame:
-    """One JSON line a row."""
-    return metrics.select(F.to_json(F.struct(*metrics.columns)).alias("line"))
+#: What a report names, in this order after elapsed_ns.
+STAGES = ("http_admission", "http_transfer", "cpu_admission", "decode", "parse", "publication")
+GAUGES = ("http", "cpu", "owned")
+
+
+def report(timing: DataFrame, gauge: DataFrame, elapsed: DataFrame) -> DataFrame:
+    """(node, line): one JSON line a node of elapsed (node, elapsed_ns), with ten keys, whether or not they occurred.
+
+    timing: node and what :func:`stage_timing` gives; gauge: node, gauge and what :func:`gauges` gives.
+    """
+    of = lambda kind, name, value: F.coalesce(F.max(F.when(F.col(kind) == name, F.col(value))), F.lit(0).cast("decimal(38,0)"))
+    long = lambda df, *names: df.withColumns({c: F.col(c).cast("decimal(38,0)") for c in names})
+    timed = long(timing, "n", "total", "most").groupBy("node").agg(
+        *[F.struct(of("stage", s, "n").alias("count"), of("stage", s, "total").alias("total_ns"), of("stage", s, "most").alias("max_ns")).alias(s) for s in STAGES]
+    )
+    held = long(gauge, "current", "peak", "integral").groupBy("node").agg(
+        *[F.struct(of("gauge", g, "current").alias("active"), of("gauge", g, "peak").alias("peak"), of("gauge", g, "integral").alias("active_ns")).alias(g) for g in GAUGES]
+    )
+    zero = lambda *names: F.struct(*[F.lit(0).cast("decimal(38,0)").alias(n) for n in names])
+    both = elapsed.join(timed, "node", "left").join(held, "node", "left")
+    parts = [F.coalesce(s, zero("count", "total_ns", "max_ns")).alias(s) for s in STAGES] + [F.coalesce(g, zero("active", "peak", "active_ns")).alias(g) for g in GAUGES]
+    return both.select("node", F.to_json(F.struct("elapsed_ns", *parts)).alias("line"))

@@ -424,3 +424,124 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = first.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{place}/rows").select(F.col("namespace").cast("long").alias("user_id"), F.col("base").alias("event_type"))
+
+
+# ---------------------------------------------------------------- rules over generated rows
+
+_HEADERS = """SELECT o_orderkey AS k, [200, 204, 206, 301, 404, 503, 408][(o_orderkey % 7 + 1)::INTEGER] AS status, o_orderkey % 5 AS kind, o_orderkey % 3 AS place, o_orderkey % 11 = 0 AS late FROM orders"""
+_HEADER_ERROR = """CASE WHEN late THEN 'Timeout' WHEN status = 301 THEN CASE WHEN place = 0 THEN NULL ELSE 'InvalidRedirect' END WHEN status = 404 THEN NULL
+ WHEN status NOT IN (200, 204) THEN 'Status' WHEN kind = 1 THEN 'InvalidHeader' WHEN kind = 4 THEN 'UnsupportedContentEncoding' END"""
+
+
+@query(f"""SELECT k, CASE WHEN error IS NOT NULL THEN NULL WHEN status IN (301, 404) THEN 'no-file' ELSE 'file' END AS outcome, error,
+ CASE WHEN error IS NULL THEN '' ELSE 'fetch' END AS failure, CASE WHEN error IS NULL AND status = 301 THEN 'http://h.example/x' ELSE '' END AS links,
+ CASE WHEN error = 'Status' THEN status END::INTEGER AS error_status FROM (SELECT *, {_HEADER_ERROR} AS error FROM ({_HEADERS}))""")
+def header_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses that headers alone decide: statuses, redirects, repeated and coded content types, timeouts."""
+    k, text = F.col("o_orderkey"), lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
+    status = F.element_at(F.array(*map(F.lit, (200, 204, 206, 301, 404, 503, 408))), (k % 7 + 1).cast("int"))
+    kind = F.when(k % 5 == 0, text("text/plain")).when(k % 5 == 1, text("text/html", "text/html")).when(k % 5 == 2, text()).when(k % 5 == 3, text("image/png")).otherwise(text("text/html"))
+    given = _t(spark, sf_dir, "orders").select(
+        F.format_string("http://h.example/%d", k).alias("url"), status.alias("status"), kind.alias("content_type"), F.when(k % 5 == 4, text("br")).otherwise(text()).alias("content_encoding"),
+        F.when(k % 3 == 0, "/x#y").when(k % 3 == 1, "/é").alias("location"), F.lit(b"").alias("body"), F.when(k % 11 == 0, "timeout").alias("error"),
+    )
+    found = outcomes.classify(given)
+    number = F.element_at(F.split("url", "/"), -1).cast("long").alias("k")
+    return found.select(number, "outcome", "error", outcomes.failure_column("error").alias("failure"), F.array_join("links", " ").alias("links"), "error_status")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_name || 'é' END AS text, CASE WHEN c_custkey % 5 = 0 THEN 'MalformedBody' END AS error FROM customer""")
+def body_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels in and out of quotes, a byte order mark that wins over its label, and bytes that a codec refuses."""
+    k, name = F.col("c_custkey"), F.concat("c_name", F.lit("é"))
+    way = [(F.encode(name, "UTF-8"), "text/html"), (F.encode(name, "UTF-16LE"), 'text/html; charset="utf-16le"'), (F.concat(F.lit(b"\xef\xbb\xbf"), F.encode(name, "UTF-8")), "text/html;charset=windows-1252"), (F.encode(name, "ISO-8859-1"), "text/html ; Charset=Latin1")]
+    body, kind = (F.coalesce(*[F.when(k % 4 == i, F.lit(w[j]) if j else w[j]) for i, w in enumerate(way)]) for j in (0, 1))
+    bad = k % 5 == 0
+    decode = F.udf(http.decode_body, "struct<text:string,error:string>", useArrow=True).asNondeterministic()
+    got = _t(spark, sf_dir, "customer").select("c_custkey", decode(F.when(bad, F.lit(b"ok \xff\xc3")).otherwise(body), F.when(bad, "text/html; charset=utf-8").otherwise(kind)).alias("got"))
+    return got.select("c_custkey", "got.text", "got.error")
+
+
+@query("""SELECT c_custkey, 'http://h.example/d/ http://h.example/d/t' || c_custkey || ' http://h.example/d/n' || c_custkey || ' http://h.example/a' || c_custkey || '.png' AS links, 2::BIGINT AS words FROM customer""")
+def html_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base element after links, a namespaced link, links inside template and noscript, repeats and words."""
+    page = F.format_string('<svg><use xlink:href="#i"></use></svg><template><a href="t%1$d">no words</a></template><noscript><a href="n%1$d"></a></noscript><base><base href="/d/"><base href="/e/"><p>two w%1$d</p><script>var x</script><img srcset="../a%1$d.png 2x, n%1$d 3x">', F.col("c_custkey"))
+    got = _t(spark, sf_dir, "customer").select("c_custkey", outcomes.extract_page(F.lit("http://h.example/p/q"), page.cast("binary"), F.lit("text/html"), F.lit(False)).alias("got"))
+    return got.select("c_custkey", F.array_join("got.links", " ").alias("links"), F.col("got.words").alias("words"))
+
+
+_STEPS = [  # kind, url, worker, outcome, children, reply; a job goes on in one of three ways
+    ("submit", None, None, None, None, "'created'"), ("submit", None, None, None, None, "'existing'"), ("claim", None, "w", None, None, "'claimed http://a/'"),
+    ("complete", "http://a/", "v", "file", None, "'ownership'"), ("complete", "http://a/none", "w", "file", None, "'ownership'"), ("complete", "http://a/", "w", "file", "http://b/", "'invalid'"),
+    ("complete", "http://a/", "w", "file", "http://a/x", "'published'"), ("complete", "http://a/", "w", "file", None, "'already'"), ("claim", None, "w", None, None, "'claimed http://a/x'"),
+    ("abort fail claim", "http://a/x", "w", "fetch", None, "['aborted', 'failed', 'idle'][(c_custkey % 3 + 1)::INTEGER]"), ("complete", "http://a/x", "w", "no-file", None, "['aborted', 'failed', 'published'][(c_custkey % 3 + 1)::INTEGER]"),
+    ("claim", None, "w", None, None, "'idle'"), ("abort", None, None, None, None, "'unchanged'"),
+]
+
+
+@query("SELECT c_custkey AS job_id, seq, reply, CASE WHEN seq < 9 THEN 'running' WHEN c_custkey % 3 = 0 THEN 'aborted' WHEN c_custkey % 3 = 1 THEN 'failed' WHEN seq = 9 THEN 'running' ELSE 'done' END AS state, CASE WHEN seq >= 9 AND c_custkey % 3 = 1 THEN 'fetch' ELSE '' END AS failure, CASE WHEN seq < 6 THEN 1 ELSE 2 END::BIGINT AS discovered FROM ("
+       + " UNION ALL ".join(f"SELECT c_custkey, {k}::BIGINT AS seq, {step[5]} AS reply FROM customer" for k, step in enumerate(_STEPS)) + ")")
+def protocol_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reply of the protocol: owners, strangers, repeats, children out of scope, an abort or a failure, late publications."""
+    schema = "seq long, kinds string, url string, worker string, outcome string, child string"
+    steps = spark.createDataFrame([(k, *step[:5]) for k, step in enumerate(_STEPS)], schema)
+    every = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id")).crossJoin(F.broadcast(steps))  # len(_STEPS) events a job
+    ways = F.split("kinds", " ")
+    events = every.select(
+        "job_id", "seq", F.get(ways, (F.col("job_id") % F.size(ways)).cast("int")).alias("kind"), F.lit("http://a/").alias("base"), "url", "worker", "outcome", F.lit("3").alias("words"), F.lit("html").alias("ext"),
+        F.when(F.col("child").isNotNull(), F.array("child")).otherwise(F.array().cast("array<string>")).alias("children"),
+    )
+    return protocol.fold(events).select("job_id", "seq", "reply", "state", "failure", "discovered")
+
+
+@query(f"SELECT (n_nationkey + 1)::BIGINT AS job_id, CASE WHEN {_STATE} = 'running' AND n_nationkey % 3 = 0 THEN 'aborted' ELSE {_STATE} END AS state, {_STATE} = 'running' AND n_nationkey % 3 = 0 AS changed FROM nation")
+def abort_some(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_jobs = _nation_jobs(spark, sf_dir)
+    return jobs.abort(all_jobs, all_jobs.where((F.col("job_id") - 1) % 3 == 0).select("job_id")).select("job_id", "state", "changed")
+
+
+@query(f"SELECT (n_nationkey + 1)::BIGINT AS job_id FROM nation WHERE {_STATE} = 'running'")
+def active_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.active(_nation_jobs(spark, sf_dir)).select("job_id")
+
+
+@query("SELECT l_returnflag AS namespace, l_orderkey AS job_id, count(*)::BIGINT AS count FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.repeated_ids(_t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("namespace"), F.col("l_orderkey").alias("job_id")))
+
+
+@query(f"""SELECT job_id, rule FROM (SELECT job_id, unnest([CASE WHEN discovered = 0 THEN 'nothing discovered' END, CASE WHEN state = 'done' AND frontier + in_flight > 0 THEN 'done with work' END,
+ CASE WHEN state = 'running' AND frontier + in_flight = 0 THEN 'running without work' END]) AS rule FROM ({_PROGRESS})) WHERE rule IS NOT NULL""")
+def preflight_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.preflight(_nation_jobs(spark, sf_dir).withColumn("namespace", F.lit("n")), _order_visits(spark, sf_dir).withColumn("words", F.lit(0)))
+
+
+@query("""SELECT l_suppkey AS job_id, CASE WHEN sum(CAST(l_orderkey AS HUGEINT) * 10000000000000) > 18446744073709551615 THEN 'failed' ELSE 'done' END AS state,
+CASE WHEN sum(CAST(l_orderkey AS HUGEINT) * 10000000000000) > 18446744073709551615 THEN 'statistics' ELSE '' END AS failure FROM lineitem GROUP BY l_suppkey""")
+def settled_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs whose words go beyond the bound have failed for their statistics."""
+    visits = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("job_id"), F.lit("file").alias("outcome"), (F.col("l_orderkey") * F.lit(10_000_000_000_000)).alias("words"), F.lit("html").alias("ext"), F.lit(True).alias("done"))
+    states = visits.select("job_id").distinct().select("job_id", F.lit("http://a/").alias("base"), F.lit("done").alias("state"), F.lit("").alias("failure"))
+    return stats.settled(visits, states).select("job_id", "state", "failure")
+
+
+@query("SELECT round(sum(o_totalprice) / (10 * sum(o_totalprice * 2)), 9) AS http_utilization FROM orders")
+def http_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _t(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("integral"), (F.col("o_totalprice") * 2).alias("elapsed"))
+    return metrics.utilization(nodes, "elapsed").select(F.round("http_utilization", 9).alias("http_utilization"))
+
+
+_REPORT = {"http_transfer": "click", "parse": "purchase"}
+_SPENT = "CASE WHEN event_type = '{0}' THEN round(value * 100)::BIGINT END"
+
+
+@query("SELECT user_id::VARCHAR AS node, '{\"elapsed_ns\":' || count(*) || '," + ",".join(
+    f'\"{s}\":{{\"count\":' + (f"' || count({_SPENT.format(_REPORT[s])}) || ',\"total_ns\":' || coalesce(sum({_SPENT.format(_REPORT[s])}), 0) || ',\"max_ns\":' || coalesce(max({_SPENT.format(_REPORT[s])}), 0) || '" if s in _REPORT else '0,\"total_ns\":0,\"max_ns\":0') + "}"
+    for s in metrics.STAGES) + "," + ",".join(f'\"{g}\":{{\"active\":0,\"peak\":0,\"active_ns\":0}}' for g in metrics.GAUGES) + "}' AS line FROM events GROUP BY user_id")
+def metrics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report a user, as a node: two of the stages are event types, the gauges never moved."""
+    events = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("node"), "event_type", F.round(F.col("value") * 100).cast("long").alias("ns"))
+    stage = F.coalesce(*[F.when(F.col("event_type") == v, k) for k, v in _REPORT.items()])
+    timing = events.withColumn("stage", stage).where("stage is not null").groupBy("node", "stage").agg(F.count("*").alias("n"), F.sum("ns").alias("total"), F.max("ns").alias("most"))
+    gauge = spark.createDataFrame([], "node string, gauge string, current long, peak long, integral long")
+    return metrics.report(timing, gauge, events.groupBy("node").agg(F.count("*").alias("elapsed_ns")))

@@ -8,7 +8,7 @@ import pytest
 from crawlframe.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"crawl_benchmark_large"}
+SLOW = {"crawl_benchmark_large", "crawl_benchmark_deep"}  # the driver compares them
 
 
 @pytest.fixture(scope="module")
