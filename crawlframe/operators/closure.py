@@ -7,7 +7,7 @@ stays short and a lost executor costs a reread. Small crawls and large ones go t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -40,6 +40,10 @@ def reach(edges: DataFrame, roots: DataFrame, max_levels: int | None = None) ->
 VISITS = "job_id long, url string, level int, parent string, pos int, outcome string, words long, ext string, error string, error_status int, done boolean"
 _VISIT_COLUMNS = [f.split()[0] for f in VISITS.split(", ")]
 _ROUND = "job_id long, base string, url string, level int, parent string, pos int, path array<int>, outcome string, words long, ext string, links array<string>, error string, error_status int"
+_ROUND_COLUMNS = [f.split()[0] for f in _ROUND.split(", ")]
+_SEEN = "job_id long, url string"
+#: Folders of known URLs that a round reads before they are written as one; more would be listed by a job of their own.
+_FOLDERS = 16
 
 
 def _walk(jobs: list[tuple[int, str]], table: dict[str, dict]) -> tuple[list[tuple], list[tuple]]:
@@ -72,37 +76,41 @@ def crawl(jobs: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     level stays as the frontier, and the first failing URL in breadth-first order names the failure.
     states: job_id, base, state (done or failed), failure.
 
-    A round writes one level of all jobs, with outcomes and links, and counts it; that is all that goes to the
-    driver. Breadth-first order is the order of ``path``, the places of the links that led to a URL: within a
-    level paths have one length, so no task has to number a level.
+    A round writes one level of all jobs, with outcomes and links, and counts its rows while it writes them; those
+    counts are all that goes to the driver. Breadth-first order is the order of ``path``, the places of the links
+    that led to a URL: within a level paths have one length, so no task has to number a level. Rounds differ in
+    nothing but the folders they read, so their generated code is compiled once.
     """
     spark = jobs.sparkSession
     outcomes = _written(outcomes.dropDuplicates(["url"]), "outcomes")
-    root = scratch_path(spark, "rounds")
-    written = lambda: spark.read.schema(_ROUND).parquet(root)
-    none = F.lit(None).cast("string")
     known = jobs.select("job_id", "base")
-    new = known.select("job_id", "base", F.col("base").alias("url"), none.alias("parent"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("path"))
-    level = 0
+    new = known.select("job_id", "base", F.col("base").alias("url"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("path"))
+    rounds, seen = [], []  # folders: of each level; of all URLs so far, in fewer of them
     while True:
-        hit = new.join(outcomes, "url", "left").withColumn("level", F.lit(level))
-        inside = urls.in_scope_column(F.col("url"), F.col("base"))
-        hit = hit.withColumn("error", F.when(~inside, "PageOutsideScope").otherwise(F.col("error")))
-        hit = hit.withColumn("outcome", F.when(F.col("error").isNull(), F.coalesce("outcome", F.lit("no-file"))))
-        hit.select(*[f.split()[0] for f in _ROUND.split(", ")]).write.mode("append").parquet(root)
-        hit = written().where(F.col("level") == level)
-        size = hit.agg(F.count("*").alias("rows"), F.count("error").alias("errors")).first()
-        if not size["rows"]:
+        hit = new.join(outcomes, "url", "left")
+        if not rounds:
+            hit = hit.withColumn("error", F.when(~urls.in_scope_column(F.col("url"), F.col("base")), "PageOutsideScope").otherwise(F.col("error")))
+        hit = hit.withColumns({"level": F.size("path"), "outcome": F.when(F.col("error").isNull(), F.coalesce("outcome", F.lit("no-file")))})
+        place, size = scratch_path(spark, "round"), Observation()
+        hit = hit.select(*_ROUND_COLUMNS).observe(size, F.count(F.lit(1)).alias("rows"), F.count("error").alias("errors"))
+        hit.write.parquet(place)
+        rounds.append(place)
+        if not size.get["rows"]:
             break
-        if size["errors"]:
+        seen.append(place)
+        if len(seen) > _FOLDERS:
+            place = scratch_path(spark, "seen")
+            spark.read.schema(_SEEN).parquet(*seen).write.parquet(place)
+            seen = [place]
+        hit = spark.read.schema(_ROUND).parquet(rounds[-1])
+        if size.get["errors"]:
             hit = hit.join(hit.where("error is not null").select("job_id").distinct(), "job_id", "left_anti")
-        links = hit.select("job_id", "base", F.col("url").alias("parent"), "path", F.posexplode("links").alias("pos", "child"))
-        inside = links.where(urls.in_scope_column(F.col("child"), F.col("base")))
-        first = inside.groupBy("job_id", "base", F.col("child").alias("url")).agg(F.min(F.struct("path", "pos", "parent")).alias("f"))
-        new = first.join(written().select("job_id", "url"), ["job_id", "url"], "left_anti")
+        links = hit.select("job_id", "base", F.col("url").alias("parent"), "path", F.posexplode("links").alias("pos", "url"))
+        inside = links.where(urls.in_scope_column(F.col("url"), F.col("base")))
+        first = inside.groupBy("job_id", "url").agg(F.first("base").alias("base"), F.min(F.struct("path", "pos", "parent")).alias("f"))
+        new = first.join(spark.read.schema(_SEEN).parquet(*seen), ["job_id", "url"], "left_anti")
         new = new.select("job_id", "base", "url", F.col("f.parent").alias("parent"), F.col("f.pos").alias("pos"), F.concat("f.path", F.array("f.pos")).alias("path"))
-        level += 1
-    visits = written()
+    visits = spark.read.schema(_ROUND).parquet(*rounds)
     ends = visits.where("error is not null").groupBy("job_id").agg(F.min_by("error", F.struct("level", "path")).alias("why"), F.min("level").alias("stop"))
     ends = _written(ends, "ends")
     visits = visits.join(ends, "job_id", "left").withColumn("done", F.col("stop").isNull() | (F.col("level") < F.col("stop"))).select(*_VISIT_COLUMNS)
