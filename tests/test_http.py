@@ -21,6 +21,21 @@ B = "http://h.example/"
         (b"\xff", "text/html; charset=utf-8", (None, "MalformedBody")),
         (b"x", "text/html; charset=none-such", (None, "UnsupportedCharset")),
         (b"x", "text html", (None, "InvalidHeader")),
+        (b"\x80\x81\xe9", "text/html; charset=windows-1250", ("€\x81é", None)),
+        (b"\x98\xc6", "text/html; charset=windows-1251", ("\x98Ж", None)),
+        (b"a\xaa", "text/html; charset=windows-1253", (None, "MalformedBody")),
+        (b"\xe0\xca\x9f", "text/html; charset=windows-1255", ("א\u05ba\x9f", None)),
+        (b"\xd9", "text/html; charset=windows-1255", (None, "MalformedBody")),
+        (b"\xa1", "text/html; charset=TIS-620", ("ก", None)),
+        (b"\xdb", "text/html; charset=windows-874", (None, "MalformedBody")),
+        (b"\xae\xbe\xc6", "text/html; charset=koi8-u", ("ўЎф", None)),
+        (b"\x80\xe9", "text/html; charset=macintosh", ("ÄÈ", None)),
+        (b"a\x80\xff", "text/html; charset=x-user-defined", ("a\uf780\uf7ff", None)),
+        (b"\x80\xc4\xe3\x80", "text/html; charset=gb2312", ("€你€", None)),
+        (b"\xff", "text/html; charset=gbk", (None, "MalformedBody")),
+        (b"\xe0", "text/html; charset=logical", ("א", None)),
+        (b"", "text/html; charset=hz-gb-2312", ("", None)),
+        (b"x", "text/html; charset=iso-2022-kr", (None, "MalformedBody")),
     ],
 )
 def test_decoding(body, kind, want):
@@ -29,7 +44,15 @@ def test_decoding(body, kind, want):
 
 def test_gzip():
     assert http.decode_body(gzip.compress(b"ok"), "text/html", True) == ("ok", None)
-    assert http.decode_body(b"\x1f\x8bbroken", "text/html", True) == (None, "Body")
+    assert http.decode_body(gzip.compress(b"o") + gzip.compress(b"k"), "text/html", True) == ("ok", None)
+    assert http.decode_body(b"", "text/html", True) == ("", None)
+    for broken in (b"\x1f\x8bbroken", gzip.compress(b"ok")[:-1], gzip.compress(b"ok") + b"more"):
+        assert http.decode_body(broken, "text/html", True) == (None, "Body")
+
+
+def test_every_label_has_a_codec():
+    for label, codec in http.CODECS.items():
+        assert label == label.lower() and http.decode_body(b"", f'text/html; charset="{label}"') == ("", None), codec
 
 
 def test_outcomes(spark):
