@@ -15,7 +15,7 @@ Size is ``octet_length(text) + 1`` a document, so a source of empty texts has a
 Defined cases: a null text has size 1; a null source, and every source without a weight of its own, belong
 to one common class; documents with equal ids get equal counts, and null ids are hashed by their text; a rate
 above MAX_RATE is an error that names the rate; an empty table gives no rows; other columns are carried along.
-Columns named ``copy`` or ``shuffle_key`` in the input give way to those of the result.
+Columns named ``copy`` or ``shuffle_key`` in the input give way to those of the result, if it is numbered.
 """
 
 from __future__ import annotations
@@ -99,13 +99,16 @@ def mix(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    numbered: bool = True,
 ) -> DataFrame:
     """All copies of all documents in a global random order: the input's columns, ``copy`` (from 1) and ``shuffle_key``.
 
+    Unless ``numbered``, the result has the input's columns alone, also those of these two names.
+
     ``weights``: target share by source; ``rest``: the share of all other sources together; ``epochs``: the
     size of the result, as a multiple of the input's.
     """
-    kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    kept = [c for c in docs.columns if not numbered or c not in ("copy", "shuffle_key")]
     key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("t"), text_of(text)))
     table = materialize(rates(docs, weights, rest, epochs, text=text, source=source), "rates")
     uniform = lambda *parts: (_hash(seed, F.col("key"), *parts) + F.lit(0.5)) / F.lit(_UNIT)
@@ -127,4 +130,4 @@ def mix(
     placed = copies.select("row", "copy", _hash(seed + 1, F.col("key"), F.col("copy").cast("string")).alias("shuffle_key"))
     part = F.floor(F.col("shuffle_key") / F.lit(_UNIT) * n).cast("int")
     dealt = placed.repartitionById(n, part).sortWithinPartitions("shuffle_key", F.col("row")[doc_id], "copy")
-    return dealt.select("row.*", "copy", "shuffle_key")
+    return dealt.select("row.*", "copy", "shuffle_key") if numbered else dealt.select("row.*")

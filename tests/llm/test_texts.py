@@ -553,6 +553,32 @@ def test_columns_and_arrays_score_alike(spark):
     assert model == rules.learn(docs.repartition(7), labels.repartition(3))
 
 
+def plain_statistics(text):
+    """The ten statistics, counted one character, word and line at a time."""
+    words = [w for w in re.split("[ \t\n\v\f\r]", text) if w]
+    lines = text.split("\n")
+    n = max(len(text), 1)
+    share = lambda kept: sum(c in kept for c in text) / n
+    return {
+        "log_chars": math.log(1 + len(text)), "word_length": n / max(len(words), 1), "upper_share": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digit_share": share("0123456789"),
+        "symbol_share": share("#$%&*!^~=<>@\\"), "bar_share": share("|"), "stop_share": share(".,;:?"), "word_variety": len(set(words)) / max(len(words), 1),
+        "line_variety": len(set(lines)) / len(lines), "log_line_length": math.log(1 + n / len(lines)),
+    }
+
+
+def test_statistics_are_the_plain_ones(spark):
+    rng = random.Random(4)
+    texts = ["", " ", "\n", "\n\n", "a", "A|b\\c", "x\u00a0y\u2003z", "😀 é 😀\nÉ", "a\vb\fc\r\nd", None]
+    texts += ["".join(rng.choice("abAB09 \t\n\v|.,;:?#$%&*!^~=<>@\\-é😀") for _ in range(rng.randint(1, 300))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rules.with_statistics(docs, docs.doc_id).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = plain_statistics(texts[r.doc_id] or "")
+        assert set(want) == set(rules.STATISTICS)
+        assert all(math.isclose(r[k], v, rel_tol=1e-12, abs_tol=1e-12) for k, v in want.items()), texts[r.doc_id]
+
+
 def test_held_out_labels_are_never_read(spark):
     docs, labels = quality_corpus(spark, 300)
     flipped = labels.selectExpr("doc_id", "if(crc32(cast(doc_id as string)) % 4 = 2, 1 - quality, quality) as quality", "toxic")
@@ -647,3 +673,42 @@ def test_pipeline_stages_follow_each_other(spark, tmp_path):
     assert Counter((r.doc_id, r.text) for r in seen["mixing"]) == want
     final = cp.run(spark, sf)
     assert sum(r.length for r in final.collect()) == sum(len(ids_of(BYTE, r.text)) + 1 for r in seen["mixing"])
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sf = f"file://{tmp_path}"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.count() == 0
+    assert cp.run(spark, sf).count() == 0
+
+
+def test_pipeline_of_odd_tables(spark, odd, tmp_path):
+    """Null ids and texts, repeated rows and clashing names go through every stage; ids of the last are checked."""
+    import corpus_pipeline as cp
+
+    good, labels = quality_corpus(spark, 240)
+    shifted = good.selectExpr("doc_id + 10000 as doc_id", "text", "lang", "source", "n_chars")
+    docs = odd.unionByName(shifted, allowMissingColumns=True)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.selectExpr("doc_id + 10000 as doc_id", "quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    sf = f"file://{tmp_path}"
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, now, sf)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/odd-{name}")
+        before, now = now.count(), spark.read.parquet(f"{tmp_path}/odd-{name}")
+        assert name == "mixing" or now.count() <= before
+    tk, want = Tokenizer.from_file(BYTE), Counter()
+    for r in now.collect():
+        want[r.doc_id] += len(tk.encode(r.text or "", add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in cp.STAGES[-1][1](spark, now, sf).collect():
+        got[r.doc_id] += r.length
+    assert got == want
