@@ -520,7 +520,7 @@ def preflight_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN sum(CAST(l_orderkey AS HUGEINT) * 10000000000000) > 18446744073709551615 THEN 'statistics' ELSE '' END AS failure FROM lineitem GROUP BY l_suppkey""")
 def settled_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs whose words go beyond the bound have failed for their statistics."""
-    visits = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("job_id"), F.lit("file").alias("outcome"), (F.col("l_orderkey") * F.lit(10_000_000_000_000)).alias("words"), F.lit("html").alias("ext"), F.lit(True).alias("done"))
+    visits = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("job_id"), F.lit("file").alias("outcome"), (F.col("l_orderkey").cast("decimal(38,0)") * F.lit(10_000_000_000_000)).alias("words"), F.lit("html").alias("ext"), F.lit(True).alias("done"))
     states = visits.select("job_id").distinct().select("job_id", F.lit("http://a/").alias("base"), F.lit("done").alias("state"), F.lit("").alias("failure"))
     return stats.settled(visits, states).select("job_id", "state", "failure")
 
