@@ -102,7 +102,8 @@ def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
         first = first | here
     meet = (F.col("l.seg") == F.col("r.seg")) & (F.col("l.bit") == F.col("r.bit")) & (F.col("l.rest") == F.col("r.rest"))
     close = (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(x) <= max_bits) & first
-    return left.join(right, meet & close).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    # Spark takes the exploded rows for as few as the fingerprints, and would send all of them to the driver to be broadcast
+    return left.hint("merge").join(right.hint("merge"), meet & close).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

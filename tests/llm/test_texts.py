@@ -420,6 +420,12 @@ def test_links_lose_none_and_repeat_none(spark, max_bits):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_links_are_not_broadcast(spark):
+    """Every fingerprint has 64 variants, which Spark's estimate leaves out: the join must not gather them on the driver."""
+    plan = simhash.links(spark.range(1000).withColumnRenamed("id", "fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(k, k + 1) for k in range(0, 90)]
     rng = random.Random(3)
