@@ -7,9 +7,12 @@ before come from the cache; the rest are encoded many at a time, joined by a one
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 from itertools import chain
 
 import numpy as np
@@ -232,3 +235,12 @@ def encoder(path: str) -> CachedEncoder:
     if path not in _encoders:
         _encoders[path] = CachedEncoder(path)
     return _encoders[path]
+
+
+def release() -> None:
+    """Drop the encoders that earlier tasks left in this worker process, and give their memory back to the system."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+        with suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of
+from .encoding import release
 from .simhash import SEED, components
 
 BANDS, BAND_ROWS = 32, 6
@@ -67,6 +68,7 @@ _SKETCH = "row long, fp long, n int, bands array<long>"
 
 
 def _sketched(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for k in range(0, batch.num_rows, 200):
             sub = batch.slice(k, 200)
@@ -81,6 +83,7 @@ def _sketched(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _sets(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for k in range(0, batch.num_rows, 200):
             sub = batch.slice(k, 200)

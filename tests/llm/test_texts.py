@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -478,6 +479,15 @@ def brute_keep_one(rows, similarity=0.8):
     return Counter(least.values())
 
 
+def test_minhash_tasks_release_encoders():
+    """Worker processes are used again: what the packing stage cached must not stay beside the near-duplicate stage."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([b"a b c d e f"])], ["row", "text"])
+    for step in (minhash._sketched, minhash._sets):
+        encoding.encoder(BYTE).encode(["a b"])
+        assert encoding._encoders
+        assert [b.num_rows for b in step(5, iter([batch]))] == [1] and not encoding._encoders
+
+
 def test_pipeline_keeps_one_of_near_copies(spark, odd):
     import corpus_pipeline as cp
 
