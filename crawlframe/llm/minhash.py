@@ -1,4 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, whole sets verify.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash and MinHash find candidates, whole sets verify.
+
+Operator 5 comes first, with this module's shingles: its fingerprints, links and components put texts into groups,
+and each set of such a group is held against one of the group. What lies farther apart than its few bits, as most pairs
+at a similarity of 0.8 do, is left to MinHash.
 
 A text is the set of its shingles' 64-bit hashes; copies are one set before any join. A set's minima under
 BANDS * BAND_ROWS hash functions are cut into bands, and sets that agree in a band are candidates: a pair at
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 from .encoding import release
-from .simhash import SEED, components
+from .simhash import SEED, components, fingerprint, links
 
 BANDS, BAND_ROWS = 32, 6
 #: The most sets that a rare shingle occurs in; pairs by rare shingles grow with it, the others shrink.
@@ -64,7 +68,7 @@ def bands(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))], dtype=np.uint64)
 
 
-_SKETCH = "row long, fp long, n int, bands array<long>"
+_SKETCH = "row long, fp long, n int, bands array<long>, print long"
 
 
 def _sketched(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,14 +76,16 @@ def _sketched(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     for batch in batches:
         for k in range(0, batch.num_rows, 200):
             sub = batch.slice(k, 200)
-            fp, n, least = [], [], []
+            fp, n, least, prints = [], [], [], []
             for t in sub.column(1):
-                found = shingles(t.as_buffer().to_pybytes(), words)
+                text = t.as_buffer().to_pybytes()
+                found = shingles(text, words)
+                prints.append(fingerprint(text, words))
                 fp.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 n.append(len(found))
                 least.append(bands(found))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * BANDS + 1, BANDS), pa.int32()), pa.array(np.concatenate(least).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([sub.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists], ["row", "fp", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([sub.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists, pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], ["row", "fp", "n", "bands", "print"])
 
 
 def _sets(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,6 +103,17 @@ def similar(x: Column, y: Column, similarity: float) -> Column:
     return both >= F.lit(similarity) * (F.size(x) + F.size(y) - both)
 
 
+def fingerprint_stars(prints: DataFrame, max_bits: int = 3) -> DataFrame:
+    """(a, a_n, b, b_n): a set of each of operator 5's groups, with each other set of the group; prints: fp, n, print.
+
+    The fingerprint of a group's root has a row in ``prints``, so its smallest set can stand for the group.
+    """
+    heads = materialize(prints.groupBy("print").agg(F.min("fp").alias("a"), F.min_by("n", "fp").alias("a_n")), "distinct-prints")
+    roots = components(links(heads.select(F.col("print").alias("fp")), max_bits)).withColumnRenamed("node", "print")
+    rooted = prints.join(roots, "print", "left").select(F.col("fp").alias("b"), F.col("n").alias("b_n"), F.coalesce("root", "print").alias("root"))
+    return rooted.join(heads.withColumnRenamed("print", "root"), "root").where("a <> b").select("a", "a_n", "b", "b_n")
+
+
 def _possible(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of different groups that share a band or a rare shingle and may reach the similarity.
 
@@ -130,11 +147,17 @@ def groups(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     """(row, group) of ``rows`` (row long, text): rows whose sets are linked by steps of ``similarity`` or more."""
     texts = rows.select("row", text_of("text").cast("binary").alias("text"))
     sketches = materialize(texts.mapInArrow(partial(_sketched, words), _SKETCH), "sketches")
-    distinct = sketches.groupBy("fp").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    distinct = sketches.groupBy("fp").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("print").alias("print"))
+    # sets of sizes too far apart can't reach the similarity
+    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity)
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    prints = materialize(distinct.where("n > 0").select("row", "fp", "n", "print"), "prints")
+    stars = materialize(fingerprint_stars(prints).where(near("a_n", "b_n")).select("a", "b"), "stars")
+    starred = stars.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(prints, "fp").select("row", "fp")
     entries = distinct.where("n > 0").select("row", "fp", "n", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.min("fp").alias("head"), F.min_by("n", "fp").alias("head_n"), F.count("*").alias("sets")).where("sets > 1")
     entries = materialize(entries.join(shared, "band").select("band", "row", "fp", "n", "head", "head_n"), "buckets")
-    members = entries.select("row", "fp").distinct()
+    members = entries.select("row", "fp").unionByName(starred).distinct()
     sets = texts.join(members, "row").select("fp", "text").mapInArrow(partial(_sets, words), "fp long, found array<long>")
     sets = materialize(sets, "sets")
 
@@ -142,27 +165,25 @@ def groups(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
         one, other = sets.toDF("a", "x"), sets.toDF("b", "y")
         return pairs.join(other, "b").join(one, "a").where(similar(F.col("x"), F.col("y"), similarity)).select("a", "b")
 
-    def split(links: DataFrame) -> DataFrame:
+    def split(linked: DataFrame) -> DataFrame:
         """The entries, with the root of each set, of buckets whose sets are in several groups."""
-        roots = components(links).withColumnRenamed("node", "fp")
+        roots = components(linked).withColumnRenamed("node", "fp")
         placed = entries.join(roots, "fp", "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root"))
         several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("fp", F.xxhash64("fp", "band")).alias("head")).where("low <> high")
         return materialize(placed.join(several.select("band", "head"), "band"), "split-buckets")
 
-    # sets of sizes too far apart can't reach the similarity
-    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity)
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tried = materialize(entries.where("fp <> head").where(near("n", "head_n")).select(*pair("head", "fp")).distinct(), "heads")
-    links = materialize(verified(tried), "head-links")
+    by_band = entries.where("fp <> head").where(near("n", "head_n")).select(*pair("head", "fp"))
+    tried = materialize(by_band.unionByName(stars.select(*pair("a", "b"))).distinct(), "heads")
+    linked = materialize(verified(tried), "head-links")
     # once more with another head a bucket, for those that the first left apart
-    again = split(links)
+    again = split(linked)
     heads = again.where("fp = head").select("band", F.col("n").alias("head_n"), F.col("root").alias("head_root"))
     more = again.join(heads, "band").where("root <> head_root").where(near("n", "head_n")).select(*pair("head", "fp")).distinct()
     more = materialize(more.join(tried, ["a", "b"], "left_anti"), "more-heads")
-    links = materialize(links.unionByName(verified(more)), "links")
-    rest = materialize(_possible(split(links), sets, similarity).join(tried.unionByName(more), ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(materialize(verified(rest), "rest-links"))
-    roots = components(links).withColumnRenamed("node", "fp")
+    linked = materialize(linked.unionByName(verified(more)), "links")
+    rest = materialize(_possible(split(linked), sets, similarity).join(tried.unionByName(more), ["a", "b"], "left_anti"), "rest")
+    linked = linked.unionByName(materialize(verified(rest), "rest-links"))
+    roots = components(linked).withColumnRenamed("node", "fp")
     return sketches.select("row", "fp").join(roots, "fp", "left").select("row", F.coalesce("root", "fp").alias("group"))
 
 

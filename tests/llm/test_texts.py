@@ -479,6 +479,22 @@ def brute_keep_one(rows, similarity=0.8):
     return Counter(least.values())
 
 
+def test_near_duplicates_go_through_operator_5(spark, monkeypatch):
+    """Its fingerprints, of the stage's shingles, its links and components give stars; the rest is left to MinHash."""
+    prints = [(10, 5, 0b0), (11, 6, 0b0), (12, 7, 0b111), (13, 8, 0b111111), (14, 9, 0b1 << 60 | 0b1111111111), (15, 1, -1)]
+    got = minhash.fingerprint_stars(spark.createDataFrame(prints, "fp long, n int, print long")).collect()
+    assert sorted(map(tuple, got)) == [(10, 5, 11, 6), (10, 5, 12, 7), (10, 5, 13, 8)]
+    seen = []
+    star = minhash.fingerprint_stars
+    monkeypatch.setattr(minhash, "fingerprint_stars", lambda p: seen.extend(r["print"] for r in p.collect()) or star(p))
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join([*words, "more"]), "other words that stand alone here", ""]
+    kept = minhash.keep_one(documents(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    assert sorted(seen) == sorted(signed(simhash.fingerprint(t.encode(), 5)) for t in texts if t)
+
+
 def test_minhash_tasks_release_encoders():
     """Worker processes are used again: what the packing stage cached must not stay beside the near-duplicate stage."""
     batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([b"a b c d e f"])], ["row", "text"])
